@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import box, disc
 from ..session import checkpoint
-from .ordering import global_rank
+from .ordering import global_rank, percentiles_wide
 from .tiles import TILE, focal, map_tiles
 
 _COL_BITS = 31
@@ -158,3 +158,56 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, res: float = 1.0,
             .select("row", "col", "is_core",
                     F.coalesce("cluster_id", F.col("near_id").cast("long"), F.lit(-1))
                     .cast("long").alias("cluster_id")))
+
+
+def cluster_summary(points: DataFrame) -> DataFrame:
+    """One row per cluster: count, score statistics, centre, bounding box, area.
+
+    ``points``: cluster_id, p, x, y, longitude, latitude; noise (-1) is left out.
+    """
+    member = points.filter("cluster_id >= 0")
+    # Exact percentiles come from Spark's own aggregate: a cluster is one spatial
+    # blob, but it may be huge, so values are counted per (cluster, p) and ranked
+    # by the range-partitioned percentile instead of being held in one task.
+    pct = cluster_percentiles(member)
+    base = member.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("candidate_count"), F.avg("p").alias("mean_probability"),
+        F.max("p").alias("max_probability"), F.avg("x").alias("center_x_m"), F.avg("y").alias("center_y_m"),
+        F.avg("longitude").alias("center_longitude"), F.avg("latitude").alias("center_latitude"),
+        F.min("x").alias("min_x_m"), F.max("x").alias("max_x_m"), F.min("y").alias("min_y_m"),
+        F.max("y").alias("max_y_m"))
+    width, height = F.col("max_x_m") - F.col("min_x_m"), F.col("max_y_m") - F.col("min_y_m")
+    return (base.join(pct, "cluster_id").withColumn("width_m", width).withColumn("height_m", height)
+            .withColumn("approx_bbox_area_km2", F.col("width_m") * F.col("height_m") / 1_000_000.0))
+
+
+def cluster_percentiles(member: DataFrame) -> DataFrame:
+    return percentiles_wide(member, "p", {"median_probability": 0.5, "p90_probability": 0.90,
+                                          "p95_probability": 0.95}, ["cluster_id"])
+
+
+def cluster_best(points: DataFrame) -> DataFrame:
+    """Best member of each cluster; the better rank wins ties."""
+    best = F.max_by(F.struct("rank", "row", "col", "p"), F.struct(F.col("p"), -F.col("rank")))
+    return (points.filter("cluster_id >= 0").groupBy("cluster_id").agg(best.alias("b"))
+            .select("cluster_id", "b.*"))
+
+
+def cluster_sizes(points: DataFrame) -> DataFrame:
+    """Clustered and noise counts, number of clusters, size statistics, clustered share."""
+    sizes = points.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    real = F.when(F.col("cluster_id") >= 0, F.col("n"))
+    median = percentiles_wide(sizes.filter("cluster_id >= 0"), "n", {"m": 0.5}).scalar()
+    return sizes.agg(
+        F.sum(real).alias("clustered"),
+        F.coalesce(F.sum(F.when(F.col("cluster_id") < 0, F.col("n"))), F.lit(0)).alias("noise"),
+        F.count(real).alias("clusters"), F.min(real).alias("smallest"), F.max(real).alias("largest"),
+        F.avg(real).alias("mean_size"), (F.sum(real) * 100.0 / F.sum("n")).alias("clustered_percent")
+    ).withColumn("median_size", median)
+
+
+def in_largest_clusters(points: DataFrame, n: int) -> DataFrame:
+    """Members of the n largest clusters (lower id wins ties)."""
+    top = (points.filter("cluster_id >= 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+           .orderBy(F.col("_n").desc(), "cluster_id").limit(n).select("cluster_id"))
+    return points.join(F.broadcast(top), "cluster_id", "left_semi")   # n rows
