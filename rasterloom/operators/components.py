@@ -166,10 +166,10 @@ def cluster_summary(points: DataFrame) -> DataFrame:
     ``points``: cluster_id, p, x, y, longitude, latitude; noise (-1) is left out.
     """
     member = points.filter("cluster_id >= 0")
-    # Exact percentiles come from Spark's own aggregate: a cluster is one spatial
-    # blob, but it may be huge, so values are counted per (cluster, p) and ranked
-    # by the range-partitioned percentile instead of being held in one task.
-    pct = cluster_percentiles(member)
+    # A cluster may hold most of the points, so its percentiles come from the
+    # range-partitioned order, not from an aggregate that keeps a group in one task.
+    pct = percentiles_wide(member, "p", {"median_probability": 0.5, "p90_probability": 0.90,
+                                         "p95_probability": 0.95}, ["cluster_id"])
     base = member.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("candidate_count"), F.avg("p").alias("mean_probability"),
         F.max("p").alias("max_probability"), F.avg("x").alias("center_x_m"), F.avg("y").alias("center_y_m"),
@@ -181,11 +181,6 @@ def cluster_summary(points: DataFrame) -> DataFrame:
             .withColumn("approx_bbox_area_km2", F.col("width_m") * F.col("height_m") / 1_000_000.0))
 
 
-def cluster_percentiles(member: DataFrame) -> DataFrame:
-    return percentiles_wide(member, "p", {"median_probability": 0.5, "p90_probability": 0.90,
-                                          "p95_probability": 0.95}, ["cluster_id"])
-
-
 def cluster_best(points: DataFrame) -> DataFrame:
     """Best member of each cluster; the better rank wins ties."""
     best = F.max_by(F.struct("rank", "row", "col", "p"), F.struct(F.col("p"), -F.col("rank")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import best_first, global_rank, percentiles_wide, running_counts
+from .tiles import ring_distance
 
 
 def level_in(value: Column, cuts: Sequence[float]) -> Column:
@@ -24,7 +25,8 @@ def _at_or_above(binned: DataFrame, cuts: Sequence[float], name: str, *sums: Col
 
 
 def _all_cuts(like: DataFrame, cuts: Sequence[float], name: str) -> DataFrame:
-    return like.sparkSession.createDataFrame([(float(c),) for c in cuts], f"{name} double")
+    return like.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias(name))
 
 
 def exceedance(scored: DataFrame, cuts: Sequence[float], p: str = "p") -> DataFrame:
@@ -255,6 +257,21 @@ def top_errors(flagged: DataFrame, per_kind: int) -> DataFrame:
     return fp.unionByName(fn)
 
 
+def top_false_positives(scored: DataFrame, cuts: Sequence[float], n: int) -> DataFrame:
+    """Best-scored false positives of each threshold, with their rank.
+
+    Whatever passes a cut and is among its n best is among the n best overall, so
+    one take-ordered serves all cuts.
+    """
+    cuts = sorted(cuts)
+    wrong = (scored.filter((F.col("g") <= 0) & (F.col("p") >= cuts[0])).select("row", "col", "p"))
+    best = wrong.orderBy(*best_first()).limit(n)
+    cut = F.explode(F.array(*[F.lit(float(c)) for c in cuts]))
+    w = Window.partitionBy("threshold").orderBy(*best_first())
+    return (best.withColumn("threshold", cut).filter(F.col("p") >= F.col("threshold"))
+            .withColumn("error_rank", F.row_number().over(w)))
+
+
 def best_of(results: DataFrame, score: str, *first: str) -> DataFrame:
     """The best experiment; the earliest in ``first`` order wins ties."""
     return results.orderBy(F.col(score).desc(), *[F.col(c).asc() for c in first]).limit(1)
@@ -264,3 +281,21 @@ def best_per(results: DataFrame, by: Sequence[str], score: str, *first: str) ->
     """Best row of each group of an experiment table, earliest wins ties."""
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), *[F.col(c).asc() for c in first])
     return results.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def chebyshev_shares(points: DataFrame, truth: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """Share of points within each Chebyshev distance of truth, as a square dilation test.
+
+    One tile pass serves all limits: it grows the truth square by square and notes
+    the first radius that reaches each pixel.
+    """
+    marks = (points.select("row", "col", F.lit(0).alias("_t"))
+             .unionByName(truth.select("row", "col", F.lit(1).alias("_t")))
+             .groupBy("row", "col").agg(F.max("_t").alias("_t")))
+    near = ring_distance(marks, "_t", max(limits), "d")
+    total = F.count(F.lit(1))
+    hit = points.select("row", "col").join(near, ["row", "col"])
+    one = hit.agg(F.array(*[
+        F.struct(F.lit(r).alias("within_px"), F.count(F.when(F.col("d") <= r, 1)).alias("n"),
+                 (F.count(F.when(F.col("d") <= r, 1)) / total).alias("share")) for r in limits]).alias("a"))
+    return one.select(F.inline("a"))

@@ -24,8 +24,7 @@ def summary(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str
         F.min(v).alias("min"), F.max(v).alias("max"))
     pct = percentiles_wide(good, value, named, by)
     if by:
-        # Few groups by contract, so the percentile table is a handful of rows.
-        return base.join(F.broadcast(pct), by)
+        return base.join(pct, by)
     one = pct.select(F.struct(*named)).scalar()
     return base.select("*", *[one[n].alias(n) for n in named])
 
@@ -101,7 +100,7 @@ def effect_sizes(df: DataFrame, bands: list[str], cohort: str, background: str =
     lead = F.abs(F.col(f"{groups[0]}_effect"))
     wide = wide.withColumn("effect_rank", F.row_number().over(
         Window.orderBy(lead.desc_nulls_last(), F.col("band").asc())))   # one row per band
-    return wide.drop(*[f"{c}_std" for c in groups])
+    return wide.drop(*[f"{c}_std" for c in (background, *groups)])
 
 
 def cohort_gap(effects: DataFrame, a: str = "tp", b: str = "fp") -> DataFrame:

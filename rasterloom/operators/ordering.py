@@ -93,7 +93,6 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float],
 
     Values are first collapsed to (group, value, count), so neither a hot group
     nor a hot value lands in one task.  Columns: ``by``, ``q``, ``value``.
-    ``by`` must have few distinct values (bands, cohorts, labels).
     """
     by = list(by)
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -101,13 +100,14 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float],
               .agg(F.count(F.lit(1)).alias("_n")))
     cum = running_counts(counts, [*[F.col(b).asc() for b in by], F.col("_v").asc()],
                          {"_cum": "_n"})
-    # Group boundaries: one row per group, taken from the same stored counts.
+    # Group boundaries: one row per group, taken from the same stored counts.  No hint:
+    # Spark broadcasts them by measured size, else AQE splits a hot group.
     bounds = cum.groupBy(*by).agg(F.max("_cum").alias("_last"), F.sum("_n").alias("_size"))
     if by:
         # Null-safe so that a NULL group keeps its percentiles.
         keyed = bounds.withColumnsRenamed({b: f"_b_{b}" for b in by})
         same = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
-        joined = cum.join(F.broadcast(keyed), same).select(*by, "_v", "_n", "_cum", "_last", "_size")
+        joined = cum.join(keyed, same).select(*by, "_v", "_n", "_cum", "_last", "_size")
     else:
         one = bounds.select(F.struct("_last", "_size")).scalar()
         joined = cum.select("_v", "_n", "_cum", one["_last"].alias("_last"),
@@ -142,6 +142,6 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
                          {"_cum": "ties"})
     if by:
         bounds = cum.groupBy(*by).agg((F.max("_cum") - F.sum("ties")).alias("_start"))
-        cum = cum.join(F.broadcast(bounds), by).withColumn("_cum", F.col("_cum") - F.col("_start"))
+        cum = cum.join(bounds, by).withColumn("_cum", F.col("_cum") - F.col("_start"))
     rank = F.col("_cum") - F.col("ties") + (F.col("ties") + 1) / 2
     return cum.select(*by, value, "ties", rank.alias(name))

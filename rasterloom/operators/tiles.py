@@ -153,6 +153,29 @@ def focal(df: DataFrame, value: str, *, how: str, name: str,
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
+def ring_distance(df: DataFrame, flag: str, reach: int, name: str, tile: int = TILE) -> DataFrame:
+    """Chebyshev distance to the nearest flagged pixel up to ``reach``, else NULL."""
+
+    def run(pdf: pd.DataFrame, row0: int, col0: int) -> pd.DataFrame:
+        side = tile + 2 * reach
+        y, x = pdf["row"].to_numpy() - (row0 - reach), pdf["col"].to_numpy() - (col0 - reach)
+        grown = np.zeros((side, side), dtype=bool)
+        on = pdf["v"].to_numpy() > 0
+        grown[y[on], x[on]] = True
+        dist = np.where(grown, 0, -1)
+        for r in range(1, reach + 1):
+            grown = box_max(grown, 1, False)
+            dist[grown & (dist < 0)] = r
+        core = (y >= reach) & (y < reach + tile) & (x >= reach) & (x < reach + tile)
+        got = pd.array(dist[y[core], x[core]], dtype="Int32")
+        got[got < 0] = pd.NA
+        return pd.DataFrame({"row": pdf["row"].to_numpy()[core], "col": pdf["col"].to_numpy()[core], name: got})
+
+    cells = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                      F.coalesce(F.col(flag).cast("int"), F.lit(0)).alias("v"))
+    return map_tiles(cells, run, f"row int, col int, {name} int", tile, reach)
+
+
 # --- overlapping tiles and user-supplied scorers -----------------------------------
 
 def overlap_tiles(axis: Column, size: int, core: int, step: int, halo: int) -> Column:
