@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpoint
 
+_TAKE = 100_000  # largest k that one task sorts
+_BINS = 4096
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition position here
 
 
@@ -68,21 +70,48 @@ def running_counts(df: DataFrame, order: Sequence[Column], counts: dict[str, str
     return out.drop("_pid", "_pos", *[f"_o_{n}" for n in counts])
 
 
-def top_k(df: DataFrame, k: int, order: Sequence[Column], rank: str | None = None) -> DataFrame:
+def prefix_bound(df: DataFrame, column: str, need: int) -> float | None:
+    """A value such that at least ``need`` rows are not below it; None = keep all.
+
+    Counts in a fixed number of bins, so only that table reaches the driver.
+    """
+    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    if lo is None or hi <= lo:
+        return None
+    width = (hi - lo) / _BINS
+    bin_no = F.floor((F.col(column).cast("double") - F.lit(lo)) / F.lit(width))
+    counts = dict(df.groupBy(bin_no.alias("b")).count().collect())  # at most _BINS + 1 rows
+    total = 0
+    for b in sorted(counts, reverse=True):
+        total += counts[b]
+        if total >= need:
+            # One bin lower absorbs any rounding at the bin edge.
+            return lo + (b - 1) * width if b > 0 else None
+    return None
+
+
+def top_k(df: DataFrame, k: int, order: Sequence[Column], rank: str | None = None,
+          lead: str | None = None) -> DataFrame:
     """First ``k`` rows in ``order``; ``rank`` names an optional position column.
 
-    Small ``k`` is Spark's own take-ordered; beyond that a global rank is cut, so
-    the k rows are never gathered in one task.
+    Small ``k`` is Spark's own take-ordered.  Beyond that a global rank is cut, so
+    the k rows are never gathered in one task; ``lead`` names the numeric column
+    that ``order`` starts with (descending), which then drops the certain losers
+    before the range shuffle.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    small = int(df.sparkSession.conf.get("spark.sql.execution.topKSortFallbackThreshold",
-                                         "100000"))
-    if k <= min(small, 100_000):
+    limit = df.sparkSession.conf.get("spark.sql.execution.topKSortFallbackThreshold", str(_TAKE))
+    if k <= min(int(limit), _TAKE):
         cut = df.orderBy(*order).limit(k)
         if rank:
+            # At most _TAKE rows, already in one task after the limit.
             cut = cut.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
         return cut
+    if lead:
+        bound = prefix_bound(df, lead, k)
+        if bound is not None:
+            df = df.filter(F.col(lead) >= F.lit(bound))
     ranked = global_rank(df, order, rank or "_rank").filter(F.col(rank or "_rank") <= k)
     return ranked if rank else ranked.drop("_rank")
 

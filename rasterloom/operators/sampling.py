@@ -25,8 +25,9 @@ def hash_key(seed: int = 42) -> Column:
 def sample_exact(df: DataFrame, n: int, key: Column | None = None, seed: int = 42) -> DataFrame:
     """min(n, population) rows without replacement."""
     key = key if key is not None else hash_key(seed)
-    return top_k(df.withColumn("_k", key), n,
-                 [F.col("_k").asc(), F.col("row").asc(), F.col("col").asc()]).drop("_k")
+    # Complemented, so that the draw is the head of a descending order.
+    return top_k(df.withColumn("_k", F.bitwise_not(key.cast("long"))), n, [F.col("_k").desc(), F.col("row").asc(), F.col("col").asc()],
+                 lead="_k").drop("_k")
 
 
 def shuffle_order(df: DataFrame, key: Column | None = None, seed: int = 42,
@@ -124,7 +125,7 @@ def hard_negatives(scored: DataFrame, height: int, width: int, *, min_score: flo
         & F.col("valid") & (F.col("label") <= 0) & (F.col("p") >= min_score))
     far = distance_to_truth(pool, truth, truth_gap).filter(
         F.col("truth_distance").isNull() | (F.col("truth_distance") >= truth_gap))
-    return top_k(far.select("row", "col", "p"), n, best_first())
+    return top_k(far.select("row", "col", "p"), n, best_first(), lead="p")
 
 
 def near_negatives(pixels: DataFrame, truth: DataFrame, limit: float = 3.0) -> DataFrame:

@@ -16,12 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpoint
-from .ordering import best_first, global_rank, top_k
+from .ordering import best_first, global_rank, prefix_bound, top_k
 from .tiles import TILE, box_max, map_tiles
 
-_BINS = 4096
-
-
 def _settle(tile: int, reach: int):
     """Tile function: state 0 = undecided, 1 = picked."""
 
@@ -61,26 +58,6 @@ def _settle(tile: int, reach: int):
     return run
 
 
-def prefix_bound(df: DataFrame, need: int) -> float | None:
-    """A score such that at least ``need`` pixels are not below it; None = keep all.
-
-    One aggregation into a fixed number of score bins.
-    """
-    lo, hi = df.agg(F.min("p"), F.max("p")).first()
-    if lo is None or hi <= lo:
-        return None
-    width = (hi - lo) / _BINS
-    bin_no = F.floor((F.col("p") - F.lit(lo)) / F.lit(width))
-    counts = dict(df.groupBy(bin_no.alias("b")).count().collect())  # at most _BINS + 1 rows
-    total = 0
-    for b in sorted(counts, reverse=True):
-        total += counts[b]
-        if total >= need:
-            # One bin lower absorbs any rounding at the bin edge.
-            return lo + (b - 1) * width if b > 0 else None
-    return None
-
-
 def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool = True,
          tile: int | None = None, max_rounds: int = 10_000) -> DataFrame:
     """Thin unique pixels (row, col, p); columns row, col, p and ``thin_rank``.
@@ -99,7 +76,7 @@ def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool =
         picks = pixels
     else:
         if k is not None:
-            bound = prefix_bound(pixels, k * (4 * radius + 1) ** 2)
+            bound = prefix_bound(pixels, "p", k * (4 * radius + 1) ** 2)
             if bound is not None:
                 pixels = pixels.filter(F.col("p") >= F.lit(bound))
         reach = 2 * radius
@@ -123,10 +100,10 @@ def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool =
             raise RuntimeError("thinning did not settle")
         picks = reduce(DataFrame.unionByName, found)
     if k is not None:
-        return top_k(picks, k, best_first(), rank="thin_rank" if ranked else None)
+        return top_k(picks, k, best_first(), rank="thin_rank" if ranked else None, lead="p")
     return global_rank(picks, best_first(), "thin_rank") if ranked else picks
 
 
 def cut_then_thin(scored: DataFrame, radius: int, k: int) -> DataFrame:
     """Variant: cut to the best k first, then thin, so fewer than k may remain."""
-    return thin(top_k(scored.select("row", "col", "p"), k, best_first()), radius)
+    return thin(top_k(scored.select("row", "col", "p"), k, best_first(), lead="p"), radius)

@@ -9,7 +9,7 @@ increments are summed per level.  No row is multiplied by the number of cuts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,19 +21,33 @@ from ..operators.ordering import best_first, global_rank
 from ..operators.thinning import thin
 
 
+#: (column getter, q) -> level number of a pixel
+Level = Callable[[Callable[[str], Column], Column], Column]
+
+
 def _level(value: Column, cuts: Sequence[float], descending: bool) -> Column:
-    """0-based index of the first cut that admits ``value``; len(cuts) = none."""
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    if descending:      # thresholds from high to low, admitted when value >= t
-        return F.size(F.filter(arr, lambda c: c > value))
-    return F.size(F.filter(arr, lambda c: c < value))
+    """0-based index of the first cut that admits ``value``; len(cuts) = none.
+
+    Thresholds run from high to low and admit value >= cut; ranks run from low to
+    high and admit value <= cut.  Written as a balanced decision tree, so a value
+    is compared log2(len(cuts)) times inside generated code.
+    """
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        admitted = value >= F.lit(cuts[mid]) if descending else value <= F.lit(cuts[mid])
+        return F.when(admitted, search(lo, mid)).otherwise(search(mid + 1, hi))
 
+    return search(0, len(cuts))
 
-def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Column, n_levels: int,
+
+def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Level, n_levels: int,
            radius: float) -> DataFrame:
     """level_no, power, tp, fp, fn, selected, hits, threshold for all levels.
 
-    ``pred``: row, col, p and what ``level`` reads; ``level`` may use ``q`` = p^power.
+    ``pred``: row, col, p and what ``level`` reads.  ``level`` maps a column getter
+    and q = p^power to the level of a pixel.
     """
     exps = F.explode(F.array(*[F.lit(float(e)) for e in powers]))
     near = truth_reach(truth, weighted_disc(radius, linear_kernel(radius)))
@@ -42,26 +56,36 @@ def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Co
 
     # False positives, counts and hits: one partial aggregation per (power, level).
     fp = (joined.withColumn("power", exps).withColumn("q", F.pow("p", "power"))
-          .withColumn("level_no", level).filter(F.col("level_no") < n_levels)
+          .withColumn("level_no", level(F.col, F.col("q"))).filter(F.col("level_no") < n_levels)
           .groupBy("power", "level_no")
           .agg(F.sum(F.col("q") * (1 - marks)).alias("fp"), F.count(F.lit(1)).alias("selected"),
                F.count(F.when(marks == 1.0, 1)).alias("hits"), F.min("p").alias("low")))
 
-    # True positives: neighbours of each truth pixel (bounded), increments per level.
+    # True positives: the neighbours of a truth pixel (bounded) stay in one row.  Walking
+    # them in level order, each rise of the best match is credited to its level, so only
+    # (power, level) sums leave the task.
     cols = [c for c in pred.columns if c not in ("row", "col")]
     around = (joined.filter(F.col("truths").isNotNull())
               .select(*cols, F.explode("truths").alias("t"))
               .groupBy("t.t_row", "t.t_col")
               .agg(F.collect_list(F.struct(*cols, F.col("t.w").alias("w"))).alias("nb")))
-    per_power = (around.withColumn("power", exps).withColumn("_t", F.struct("t_row", "t_col"))
-                 .select("_t", "power", F.inline("nb"))
-                 .withColumn("q", F.pow("p", "power")).withColumn("level_no", level)
-                 .filter(F.col("level_no") < n_levels)
-                 .groupBy("_t", "power", "level_no").agg(F.max(F.col("q") * F.col("w")).alias("hit")))
-    climb = Window.partitionBy("_t", "power").orderBy("level_no")
-    peak = F.max("hit").over(climb.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    gains = (per_power.withColumn("peak", peak)
-             .withColumn("gain", F.col("peak") - F.coalesce(F.lag("peak").over(climb), F.lit(0.0)))
+
+    def match(x: Column) -> Column:
+        q = F.pow(x["p"], F.col("power"))
+        return F.struct(level(lambda c: x[c], q).alias("level_no"), (q * x["w"]).alias("hit"))
+
+    empty = F.struct(F.lit(0.0).alias("best"), F.array().cast(
+        "array<struct<level_no:int,gain:double>>").alias("out"))
+
+    def climb(acc: Column, x: Column) -> Column:
+        rise = F.struct(x["level_no"].alias("level_no"), (x["hit"] - acc["best"]).alias("gain"))
+        return F.when(x["hit"] > acc["best"], F.struct(
+            x["hit"].alias("best"), F.concat(acc["out"], F.array(rise)).alias("out"))).otherwise(acc)
+
+    gains = (around.withColumn("power", exps)
+             .select("power", F.inline(F.aggregate(F.array_sort(F.transform("nb", match)), empty, climb,
+                                                   lambda acc: acc["out"])))
+             .filter(F.col("level_no") < n_levels)
              .groupBy("power", "level_no").agg(F.sum("gain").alias("tp")))
 
     # Small from here: powers x levels.
@@ -92,7 +116,7 @@ def _name_level(table: DataFrame, cuts: Sequence[float], name: str, as_type: str
 def power_sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], radius: float = RADIUS,
                 alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
     """DTI of p^power for each power."""
-    out = _sweep(pred.select("row", "col", "p"), truth, powers, F.lit(0), 1, radius)
+    out = _sweep(pred.select("row", "col", "p"), truth, powers, lambda get, q: F.lit(0), 1, radius)
     return _scored(out, alpha, beta).drop("level_no")
 
 
@@ -103,7 +127,10 @@ def threshold_power_sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[fl
     if when not in ("after", "before"):
         raise ValueError("when is 'after' or 'before'")
     cuts = sorted((float(t) for t in thresholds), reverse=True)
-    level = _level(F.col("q") if when == "after" else F.col("p"), cuts, descending=True)
+
+    def level(get: Callable[[str], Column], q: Column) -> Column:
+        return _level(q if when == "after" else get("p"), cuts, descending=True)
+
     out = _sweep(pred.select("row", "col", "p"), truth, powers, level, len(cuts), radius)
     return _name_level(_scored(out, alpha, beta), cuts, "threshold", "double")
 
@@ -112,7 +139,10 @@ def _rank_sweep(ranked: DataFrame, truth: DataFrame, ks: Sequence[int], powers:
                 radius: float, alpha: float, beta: float) -> DataFrame:
     cuts = sorted(int(k) for k in ks)
     pred = ranked.filter(F.col("pick_rank") <= cuts[-1]).select("row", "col", "p", "pick_rank")
-    level = _level(F.col("pick_rank").cast("double"), cuts, descending=False)
+
+    def level(get: Callable[[str], Column], q: Column) -> Column:
+        return _level(get("pick_rank"), cuts, descending=False)
+
     out = _sweep(pred, truth, powers, level, len(cuts), radius)
     out = _name_level(_scored(out, alpha, beta), cuts, "k", "int")
     counts = out.withColumnsRenamed({"hits": "tp_pixels", "tp": "tp_w", "fp": "fp_w", "fn": "fn_w"})

@@ -92,10 +92,21 @@ def sweep_power_threshold_fine(spark, sf):
     return _cut_out(_run(spark, sf, Q.threshold_power_sweep, FINE_P, FINE_T))
 
 
-@query()
+CANON_P, CANON_T = steps(0.5, 3.0, 0.05), steps(0.0, 0.94, 0.02)
+
+
+@query(_cut_sql(CANON_P, CANON_T, "pow(p, e.v) >= c.v"))
 def sweep_power_threshold_canonical(spark, sf):
-    """51 powers x 48 thresholds in one job; too many cells for the oracle's joins."""
-    return _cut_out(_run(spark, sf, Q.threshold_power_sweep, steps(0.5, 3.0, 0.05), steps(0.0, 0.94, 0.02)))
+    """51 powers x 48 thresholds in one job."""
+    return _cut_out(_run(spark, sf, Q.threshold_power_sweep, CANON_P, CANON_T))
+
+
+QUICK_P, QUICK_T = [1.0, 1.5, 2.0, 3.0], [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
+
+
+@query(_cut_sql(QUICK_P, QUICK_T, "pow(p, e.v) >= c.v"))
+def sweep_power_threshold_quick(spark, sf):
+    return _cut_out(_run(spark, sf, Q.threshold_power_sweep, QUICK_P, QUICK_T))
 
 
 def _rank_sql(ks, powers, picks: list[str], radius_col: str = "") -> str:
@@ -221,7 +232,11 @@ def sweep_radius_k(spark, sf):
 K8, P8B = [700, 750, 800, 850, 900, 950, 1000, 1050], [5e-5, 1e-4, 2e-4, 5e-4, 0.001, 0.002, 0.005, 0.01]
 
 
-@query()
+def _radii_sql(ks, powers, radii) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_thin_sql(ks, powers, r)})" for r in radii)
+
+
+@query(_radii_sql(K8, P8B, [1, 2]))
 def sweep_k_power_radius(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K8, P8B, [1, 2]), "thin_radius")
 
@@ -245,7 +260,7 @@ def sweep_k_locked_power(spark, sf):
 K11, P4 = list(range(800, 911, 10)), [1e-5, 5e-5, 1e-4, 5e-4]
 
 
-@query()
+@query(_radii_sql(K11, P4, [1, 2]))
 def sweep_radius_power_k(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K11, P4, [1, 2]), "thin_radius")
 
