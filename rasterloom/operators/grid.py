@@ -119,18 +119,26 @@ def border_safe(height: int, width: int, margin: int = 15) -> Column:
             & F.col("col").between(margin, width - margin - 1))
 
 
-def distance_to_split(height: int, width: int, target: tuple[int, ...], per_side: int = 4) -> Column:
-    """Euclidean distance in pixels to the nearest pixel of the target blocks.
+def with_split_distance(df: DataFrame, height: int, width: int, target: tuple[int, ...],
+                        name: str = "split_distance", per_side: int = 4) -> DataFrame:
+    """Append the Euclidean distance in pixels to the nearest pixel of the target blocks.
 
     Closed form over at most per_side^2 rectangles; no join, no distance raster.
+    Cells outside the raster belong to no block.
     """
-    def gap(axis: Column, lo: int, hi: int) -> Column:
-        return F.greatest(F.lit(lo) - axis, axis - F.lit(hi - 1), F.lit(0)).cast("double")
-
-    dists = [F.sqrt(gap(F.col("row"), r0, r1) * gap(F.col("row"), r0, r1)
-                    + gap(F.col("col"), c0, c1) * gap(F.col("col"), c0, c1))
-             for b, r0, r1, c0, c1 in block_rectangles(height, width, per_side) if b in target]
-    return dists[0] if len(dists) == 1 else F.least(*dists)
+    rects = block_rectangles(height, width, per_side)
+
+    def squared_gap(axis: str, lo: int, hi: int) -> Column:
+        gap = F.greatest(F.lit(lo) - F.col(axis), F.col(axis) - F.lit(hi - 1), F.lit(0)).cast("double")
+        return gap * gap
+
+    # Blocks form a lattice: per_side row gaps and per_side column gaps cover them all.
+    rows = F.array(*[squared_gap("row", rects[i * per_side][1], rects[i * per_side][2]) for i in range(per_side)])
+    cols = F.array(*[squared_gap("col", rects[j][3], rects[j][4]) for j in range(per_side)])
+    gaps = df.withColumn("_gr", rows).withColumn("_gc", cols)
+    sums = [F.col("_gr")[b // per_side] + F.col("_gc")[b % per_side] for b in target]
+    nearest = sums[0] if len(sums) == 1 else F.least(*sums)
+    return gaps.withColumn(name, F.sqrt(nearest)).drop("_gr", "_gc")
 
 
 def stack_bands(df: DataFrame, bands: list[str], *keys: str | Column) -> DataFrame:

@@ -18,72 +18,66 @@ from ..functions.kernels import box, disc, linear_kernel, offset_array, weighted
 ALPHA, BETA, RADIUS, EPS = 0.2, 0.8, 3, 1e-12   # fixed values of the metric
 
 
-def truth_reach(truth: DataFrame, offsets: Sequence[tuple[int, int, float]],
-                by: Sequence[str] = ()) -> DataFrame:
-    """Pixels near truth: influence = largest weight, truths = who reaches them.
+def spread_truth(truth: DataFrame, offsets: Sequence[tuple[int, int, float]],
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Every truth pixel once per offset: by..., row, col (reached), t_row, t_col, w.
 
-    Only the sparse truth side is multiplied (25 offsets for R = 3); a pixel is
-    reached by at most that many truth pixels, so ``truths`` is bounded.
+    Only the sparse truth side is multiplied (25 offsets for R = 3), never the
+    predictions.
     """
-    spread = (truth.select(*by, F.col("row").alias("t_row"), F.col("col").alias("t_col"),
-                           F.explode(offset_array(list(offsets))).alias("o"))
-              .select(*by, (F.col("t_row") + F.col("o.dy")).alias("row"),
-                      (F.col("t_col") + F.col("o.dx")).alias("col"),
-                      "t_row", "t_col", F.col("o.w").alias("w")))
-    return spread.groupBy(*by, "row", "col").agg(
-        F.max("w").alias("influence"), F.collect_list(F.struct("t_row", "t_col", "w")).alias("truths"))
+    return (truth.select(*by, F.col("row").alias("t_row"), F.col("col").alias("t_col"),
+                         F.explode(offset_array(list(offsets))).alias("o"))
+            .select(*by, (F.col("t_row") + F.col("o.dy")).alias("row"),
+                    (F.col("t_col") + F.col("o.dx")).alias("col"),
+                    "t_row", "t_col", F.col("o.w").alias("w")))
+
+
+def truth_reach(truth: DataFrame, offsets: Sequence[tuple[int, int, float]],
+                by: Sequence[str] = ()) -> DataFrame:
+    """Largest offset weight from any truth pixel: by..., row, col, influence."""
+    return spread_truth(truth, offsets, by).groupBy(*by, "row", "col").agg(F.max("w").alias("influence"))
 
 
 def influence(truth: DataFrame, radius: float = RADIUS) -> DataFrame:
     """Largest kernel weight from any truth pixel: row, col, influence."""
-    return truth_reach(truth, weighted_disc(radius, linear_kernel(radius))).drop("truths")
+    return truth_reach(truth, weighted_disc(radius, linear_kernel(radius)))
 
 
 def match_sums(pred: DataFrame, truth: DataFrame, offsets: Sequence[tuple[int, int, float]],
-               by: Sequence[str] = (), truth_by: Sequence[str] = (),
-               miss: Column | None = None) -> DataFrame:
+               by: Sequence[str] = (), truth_by: Sequence[str] = (), with_fp: bool = True) -> DataFrame:
     """tp, fp, fn, n_truth per group of ``by`` (columns of ``pred``).
 
     pred      unique (by, row, col) with p; zeros may be left out
     truth     truth pixels (truth_by, row, col); ``truth_by`` is a subset of ``by``
               when each group has its own truth
-    miss      false-positive weight of a prediction from ``influence``;
-              default 1 - influence
-    One pass: every prediction emits its FP share once and its matches, and both
-    are summed by the same aggregation.  The FP rows share a NULL truth key, which
-    partial aggregation folds map-side.
+    Both sums join on (row, col), so a shuffled ``pred`` is exchanged once and
+    reused; all aggregates are hash aggregates with partial sums.
     """
     by, truth_by = list(by), list(truth_by)
-    near = truth_reach(truth, offsets, truth_by)
-    joined = (pred.filter(F.col("p") > 0).select(*by, "row", "col", F.col("p").cast("double").alias("p"))
-              .join(near, [*truth_by, "row", "col"], "left")
-              .withColumn("influence", F.coalesce("influence", F.lit(0.0))))
-    weight = miss if miss is not None else F.lit(1.0) - F.col("influence")
-    none = F.struct(F.lit(None).cast("int").alias("t_row"), F.lit(None).cast("int").alias("t_col"),
-                    F.lit(0.0).alias("w"))
-    cast = F.transform(F.col("truths"), lambda t: F.struct(
-        t["t_row"].cast("int").alias("t_row"), t["t_col"].cast("int").alias("t_col"),
-        t["w"].alias("w")))
-    emitted = joined.select(
-        *by, "p", (F.col("p") * weight).alias("fp_part"),
-        F.explode(F.when(F.col("truths").isNull(), F.array(none))
-                  .otherwise(F.concat(F.array(none), cast))).alias("m"))
-    best = (emitted.select(*by, F.col("m.t_row").alias("t_row"), F.col("m.t_col").alias("t_col"),
-                           (F.col("p") * F.col("m.w")).alias("hit"),
-                           F.when(F.col("m.t_row").isNull(), F.col("fp_part")).alias("fp_part"))
-            .groupBy(*by, "t_row", "t_col")
-            .agg(F.max("hit").alias("best"), F.sum("fp_part").alias("fp_part")))
-    sums = best.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("t_row").isNotNull(), F.col("best"))), F.lit(0.0)).alias("tp"),
-        F.coalesce(F.sum("fp_part"), F.lit(0.0)).alias("fp"))
+    key = [*truth_by, "row", "col"]
+    # With groups, zero scores stay in so that an all-zero group still counts its misses.
+    hot = pred if by else pred.filter(F.col("p") > 0)
+    hot = hot.select(*by, "row", "col", F.col("p").cast("double").alias("p"))
+    best = (spread_truth(truth, offsets, truth_by).join(hot, key)
+            .groupBy(*by, "t_row", "t_col").agg(F.max(F.col("p") * F.col("w")).alias("best")))
+    tp = best.groupBy(*by).agg(F.sum("best").alias("tp"))
+    if with_fp:
+        near = F.coalesce("influence", F.lit(0.0))
+        fp = (hot.join(truth_reach(truth, offsets, truth_by), key, "left").groupBy(*by)
+              .agg(F.sum(F.col("p") * (1 - near)).alias("fp")))
+    else:
+        fp = hot.groupBy(*by).agg(F.lit(0.0).alias("fp"))
+    if by:
+        sums = fp.join(tp, by, "left")
+    else:
+        sums = fp.withColumn("tp", tp.scalar())
     if truth_by:
         counted = truth.groupBy(*truth_by).agg(F.count(F.lit(1)).alias("n_truth"))
-        sums = sums.join(counted, truth_by, "full" if truth_by == by else "left").fillna(
-            0, ["tp", "fp", "n_truth"])
+        sums = sums.join(counted, truth_by, "full" if truth_by == by else "left")
     else:
-        counted = truth.agg(F.count(F.lit(1)).alias("n")).scalar()
-        sums = sums.withColumn("n_truth", counted)
-    return sums.withColumn("fn", F.col("n_truth") - F.col("tp"))
+        sums = sums.withColumn("n_truth", truth.agg(F.count(F.lit(1)).alias("n")).scalar())
+    sums = sums.fillna(0, ["tp", "fp", "n_truth"])
+    return sums.select(*by, "tp", "fp", "n_truth", (F.col("n_truth") - F.col("tp")).alias("fn"))
 
 
 def tversky(tp: Column, fp: Column, fn: Column, alpha: float = ALPHA, beta: float = BETA,
@@ -121,8 +115,7 @@ def dti(pred: DataFrame, truth: DataFrame, by: Sequence[str] = (), *, radius: fl
 def dti_truth_only(pred: DataFrame, truth: DataFrame, radius: float = RADIUS,
                    alpha: float = ALPHA, beta: float = BETA, eps: float = 1e-8) -> DataFrame:
     """Variant with weight 1/(1+d): hits count only on truth, near misses are discounted."""
-    near = truth_reach(truth, [(dy, dx, 1.0 / (1.0 + d)) for dy, dx, d in disc(radius)]
-                       ).drop("truths")
+    near = truth_reach(truth, [(dy, dx, 1.0 / (1.0 + d)) for dy, dx, d in disc(radius)])
     marks = truth.select("row", "col", F.lit(True).alias("is_truth"))
     both = (pred.select("row", "col", "p").join(near, ["row", "col"], "left")
             .join(marks, ["row", "col"], "left"))
@@ -141,11 +134,10 @@ def dti_box(pred: DataFrame, truth: DataFrame, radius: int = RADIUS, alpha: floa
 
     Truth pixels themselves are never false positives (d = 0).
     """
-    # The square decides the match, the Euclidean distance decides the FP weight, so
-    # both ride on the same exploded offsets: match weight 1, distance kept aside.
+    # The square decides the match, the Euclidean distance the FP weight.
     hits = match_sums(pred, truth, [(dy, dx, 1.0) for dy, dx, _ in box(radius)],
-                      miss=F.lit(0.0)).select("tp", "fn", "n_truth")
-    near = truth_reach(truth, [(dy, dx, 1.0 - d / radius) for dy, dx, d in disc(radius)]).drop("truths")
+                      with_fp=False).select("tp", "fn", "n_truth")
+    near = truth_reach(truth, weighted_disc(radius, linear_kernel(radius)))
     fp = (pred.filter(F.col("p") > 0).select("row", "col", "p").join(near, ["row", "col"], "left")
           .agg(F.coalesce(F.sum(F.col("p") * (1 - F.coalesce("influence", F.lit(0.0)))),
                           F.lit(0.0)).alias("fp")))
@@ -168,8 +160,8 @@ def patch_dti(cells: DataFrame, patch: Sequence[str], size: int, radius: int = R
     inner_truth = truth.filter(inner)
     # Matches of inner valid truth against every prediction of the patch.
     hits = match_sums(cells, inner_truth.filter("valid"), offs, patch, patch,
-                      miss=F.lit(0.0)).select(*patch, "tp")
-    near = truth_reach(truth, offs, patch).drop("truths")
+                      with_fp=False).select(*patch, "tp")
+    near = truth_reach(truth, offs, patch)
     fp = (cells.filter(inner & F.col("valid") & (F.col("p") > 0))
           .join(near, [*patch, "row", "col"], "left").groupBy(*patch)
           .agg(F.sum(F.col("p") * (1 - F.coalesce("influence", F.lit(0.0)))).alias("fp")))

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .grid import VALIDATION_BLOCKS, block_of, border_safe, distance_to_split, split_of
+from .grid import VALIDATION_BLOCKS, block_of, border_safe, split_of, with_split_distance
 from .metric import truth_reach
 from .ordering import best_first, global_rank, running_counts, top_k
 from ..functions.kernels import disc
@@ -95,16 +95,17 @@ def leak_safe(df: DataFrame, height: int, width: int, good: Column, margin: int
     validation = tuple(validation)
     train = tuple(b for b in range(16) if b not in validation)
     block = block_of(height, width)
-    other = F.when(block.isin(*validation), distance_to_split(height, width, train)).otherwise(
-        distance_to_split(height, width, validation))
-    return (df.filter(border_safe(height, width, margin) & good & (other > margin))
+    safe = df.filter(border_safe(height, width, margin) & good)
+    to = with_split_distance(with_split_distance(safe, height, width, train, "_t"), height, width, validation, "_v")
+    other = F.when(block.isin(*validation), F.col("_t")).otherwise(F.col("_v"))
+    return (to.filter(other > margin).drop("_t", "_v")
             .withColumn("block_id", block).withColumn("split", split_of(block, validation)))
 
 
 def distance_to_truth(pixels: DataFrame, truth: DataFrame, limit: float) -> DataFrame:
     """Append ``truth_distance``: Euclidean distance if <= limit, else NULL."""
     # The reach keeps the largest weight; limit - d turns that into the nearest d.
-    near = truth_reach(truth, [(dy, dx, limit - d) for dy, dx, d in disc(limit)]).drop("truths")
+    near = truth_reach(truth, [(dy, dx, limit - d) for dy, dx, d in disc(limit)])
     return (pixels.join(near, ["row", "col"], "left")
             .withColumn("truth_distance", F.lit(float(limit)) - F.col("influence")).drop("influence"))
 
@@ -121,8 +122,8 @@ def hard_negatives(scored: DataFrame, height: int, width: int, *, min_score: flo
     truth = scored.filter("label > 0").select("row", "col")
     pool = scored.filter(
         ~block_of(height, width).isin(*validation) & border_safe(height, width, margin)
-        & (distance_to_split(height, width, validation) > margin)
         & F.col("valid") & (F.col("label") <= 0) & (F.col("p") >= min_score))
+    pool = with_split_distance(pool, height, width, validation, "_v").filter(F.col("_v") > margin).drop("_v")
     far = distance_to_truth(pool, truth, truth_gap).filter(
         F.col("truth_distance").isNull() | (F.col("truth_distance") >= truth_gap))
     return top_k(far.select("row", "col", "p"), n, best_first(), lead="p")

@@ -35,11 +35,17 @@ def map_tiles(df: DataFrame, fn: Callable[[pd.DataFrame, int, int], pd.DataFrame
               schema: str, tile: int = TILE, halo: int = 0) -> DataFrame:
     """Run ``fn(pixels, row0, col0)`` per tile; row0/col0 are the core's first cell."""
 
+    return run_tiles(explode_tiles(df, tile, halo), fn, schema, tile)
+
+
+def run_tiles(exploded: DataFrame, fn: Callable[[pd.DataFrame, int, int], pd.DataFrame],
+              schema: str, tile: int) -> DataFrame:
+    """``map_tiles`` for rows that already carry tile_y and tile_x."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf, int(key[0]) * tile, int(key[1]) * tile)
 
-    return (explode_tiles(df, tile, halo).groupBy("tile_y", "tile_x")
-            .applyInPandas(run, schema))
+    return exploded.groupBy("tile_y", "tile_x").applyInPandas(run, schema)
 
 
 # --- array helpers used inside tasks ------------------------------------------------
@@ -247,29 +253,44 @@ def overlap_average(scored: DataFrame) -> DataFrame:
 
 
 def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[str],
-            on_border: str = "raise") -> DataFrame:
-    """Square patches as sorted arrays of struct(dy, dx, columns...) per centre.
+            on_border: str = "raise", tile: int = 128) -> DataFrame:
+    """Square patches: row, col and per column an array of (2r+1)^2 values, row-major.
 
-    Patch size is fixed at (2r+1)^2, so the collected array is bounded.
-    on_border "skip" drops incomplete patches, "raise" fails the job on one.
+    Pixels are shuffled once by tile and patches are cut from the tile's arrays, so
+    the (2r+1)^2-fold copy exists only in the result.
+    on_border "skip" drops patches with an absent cell, "raise" fails the job on one.
     """
-    span = F.array(*[F.lit(d) for d in range(-radius, radius + 1)])
-    full = (2 * radius + 1) ** 2
-    want = (centres.select(F.col("row").alias("c_row"), F.col("col").alias("c_col"))
-            .withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-            .withColumn("row", F.col("c_row") + F.col("dy"))
-            .withColumn("col", F.col("c_col") + F.col("dx")))
-    got = (want.join(df.select("row", "col", *columns), ["row", "col"])
-           .groupBy("c_row", "c_col")
-           .agg(F.array_sort(F.collect_list(F.struct("dy", "dx", *columns))).alias("patch")))
-    if on_border == "skip":
-        got = got.filter(F.size("patch") == full)
-    elif on_border == "raise":
-        got = got.withColumn("patch", F.when(F.size("patch") == full, F.col("patch")).otherwise(
-            F.raise_error(F.format_string("incomplete patch at (%d, %d)", "c_row", "c_col"))))
-    else:
+    if on_border not in ("raise", "skip"):
         raise ValueError("on_border is 'raise' or 'skip'")
-    return got.withColumnsRenamed({"c_row": "row", "c_col": "col"})
+    columns = list(columns)
+    side, width = tile + 2 * radius, 2 * radius + 1
+
+    def cut(pdf: pd.DataFrame, row0: int, col0: int) -> pd.DataFrame:
+        y, x = pdf["row"].to_numpy() - (row0 - radius), pdf["col"].to_numpy() - (col0 - radius)
+        cell = ~pdf["is_centre"].to_numpy()
+        there = np.zeros((side, side), dtype=bool)
+        there[y[cell], x[cell]] = True
+        cy, cx = y[~cell], x[~cell]
+        windows = np.lib.stride_tricks.sliding_window_view
+        whole = windows(there, (width, width))[cy - radius, cx - radius].all(axis=(1, 2))
+        if on_border == "raise" and not whole.all():
+            bad = int(np.argmin(whole))
+            raise ValueError(f"incomplete patch at ({cy[bad] + row0 - radius}, {cx[bad] + col0 - radius})")
+        cy, cx = cy[whole], cx[whole]
+        out = {"row": (cy + row0 - radius).astype("int32"), "col": (cx + col0 - radius).astype("int32")}
+        for c in columns:
+            a = np.full((side, side), np.nan)
+            a[y[cell], x[cell]] = pdf[c].to_numpy(dtype=float, na_value=np.nan)[cell]
+            out[c] = list(windows(a, (width, width))[cy - radius, cx - radius].reshape(len(cy), width * width))
+        return pd.DataFrame(out)
+
+    cells = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                      *[F.col(c).cast("double").alias(c) for c in columns], F.lit(False).alias("is_centre"))
+    marks = centres.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                           *[F.lit(None).cast("double").alias(c) for c in columns], F.lit(True).alias("is_centre"))
+    both = explode_tiles(cells, tile, radius).unionByName(explode_tiles(marks, tile))
+    schema = "row int, col int, " + ", ".join(f"`{c}` array<double>" for c in columns)
+    return run_tiles(both, cut, schema, tile)
 
 
 def score_patches(patch_df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
@@ -283,8 +304,10 @@ def score_patches(patch_df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Serie
     return patch_df.mapInPandas(run, "row int, col int, p double")
 
 
-def centre_mean(patch_df: DataFrame, column: str, half: int = 2) -> DataFrame:
+def centre_mean(patch_df: DataFrame, column: str, radius: int, half: int = 2) -> DataFrame:
     """Mean of ``column`` over the central (2*half+1)^2 cells of each patch."""
-    inner = F.filter("patch", lambda s: (F.abs(s["dy"]) <= half) & (F.abs(s["dx"]) <= half))
-    total = F.aggregate(inner, F.lit(0.0), lambda acc, s: acc + s[column].cast("double"))
+    width = 2 * radius + 1
+    inner = F.filter(column, lambda v, i: (F.abs(F.floor(i / width) - radius) <= half)
+                     & (F.abs(i % width - radius) <= half))
+    total = F.aggregate(inner, F.lit(0.0), lambda acc, v: acc + v)
     return patch_df.select("row", "col", (total / F.size(inner)).alias("centre_mean"))

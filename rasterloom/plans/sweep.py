@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import linear_kernel, weighted_disc
-from ..operators.metric import ALPHA, BETA, EPS, RADIUS, truth_reach, tversky
+from ..operators.metric import ALPHA, BETA, EPS, RADIUS, spread_truth, truth_reach, tversky
 from ..operators.evaluation import with_precision_recall
 from ..operators.ordering import best_first, global_rank
 from ..operators.thinning import thin
@@ -50,12 +50,12 @@ def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Le
     and q = p^power to the level of a pixel.
     """
     exps = F.explode(F.array(*[F.lit(float(e)) for e in powers]))
-    near = truth_reach(truth, weighted_disc(radius, linear_kernel(radius)))
+    offsets = weighted_disc(radius, linear_kernel(radius))
     marks = F.coalesce(F.col("influence"), F.lit(0.0))
-    joined = pred.filter(F.col("p") > 0).join(near, ["row", "col"], "left")
+    hot = pred.filter(F.col("p") > 0)
 
     # False positives, counts and hits: one partial aggregation per (power, level).
-    fp = (joined.withColumn("power", exps).withColumn("q", F.pow("p", "power"))
+    fp = (hot.join(truth_reach(truth, offsets), ["row", "col"], "left").withColumn("power", exps).withColumn("q", F.pow("p", "power"))
           .withColumn("level_no", level(F.col, F.col("q"))).filter(F.col("level_no") < n_levels)
           .groupBy("power", "level_no")
           .agg(F.sum(F.col("q") * (1 - marks)).alias("fp"), F.count(F.lit(1)).alias("selected"),
@@ -65,10 +65,8 @@ def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Le
     # them in level order, each rise of the best match is credited to its level, so only
     # (power, level) sums leave the task.
     cols = [c for c in pred.columns if c not in ("row", "col")]
-    around = (joined.filter(F.col("truths").isNotNull())
-              .select(*cols, F.explode("truths").alias("t"))
-              .groupBy("t.t_row", "t.t_col")
-              .agg(F.collect_list(F.struct(*cols, F.col("t.w").alias("w"))).alias("nb")))
+    around = (spread_truth(truth, offsets).join(hot, ["row", "col"]).groupBy("t_row", "t_col")
+              .agg(F.collect_list(F.struct(*cols, "w")).alias("nb")))
 
     def match(x: Column) -> Column:
         q = F.pow(x["p"], F.col("power"))

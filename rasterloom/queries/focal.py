@@ -76,8 +76,9 @@ _GAP = '''sqrt(pow(greatest(r0 - "row", "row" - r1, 0), 2e0) + pow(greatest(c0 -
 @query(sql(f'''SELECT "row", col, round(min({_GAP}), 6) AS d FROM grid, blocks WHERE b IN (1, 7, 9, 10) GROUP BY 1, 2''', "grid", "size", _RECTS))
 def distance_to_validation(spark, sf):
     size = shape(spark, sf)
-    return grid(spark, sf, size).select("row", "col", F.round(G.distance_to_split(
-        size.height, size.width, G.VALIDATION_BLOCKS), 6).alias("d"))
+    out = G.with_split_distance(grid(spark, sf, size).select("row", "col"), size.height, size.width,
+                                G.VALIDATION_BLOCKS, "d")
+    return six(out, "d")
 
 
 @query(sql('''SELECT a."row", a.col, round(sum(CASE WHEN b.p >= 0.8e0 AND b.g = 0 THEN 1e0 ELSE 0e0 END) / 961e0, 6) AS density FROM grid a
@@ -95,8 +96,8 @@ _STAMP = values_offsets(weighted_disc(3, linear_kernel(4)))
 
 @query(sql('''SELECT "row" + dy AS "row", col + dx AS col, round(max(k), 6) AS target FROM truth CROSS JOIN o GROUP BY 1, 2''', "truth", _STAMP))
 def soft_targets(spark, sf):
-    return six(M.truth_reach(truth(spark, sf), weighted_disc(3, linear_kernel(4)))
-               .select("row", "col", F.col("influence").alias("target")), "target")
+    stamp = M.truth_reach(truth(spark, sf), weighted_disc(3, linear_kernel(4)))
+    return six(stamp.withColumnRenamed("influence", "target"), "target")
 
 
 _TILES = '''tiles AS (SELECT ty, tx FROM (SELECT unnest(range(CAST((h + {s} - 1) // {s} AS BIGINT))) AS ty FROM size),
@@ -167,21 +168,20 @@ def _patches(spark, sf):
 @query(sql(_CENTRES.format(agg='''round(sum(b.p), 6) AS total, min(b.p) AS low, max(b.p) AS high'''), "grid", "truth"))
 def patch_extraction(spark, sf):
     """15x15 patches around truth pixels; incomplete ones are skipped."""
-    values = F.transform("patch", lambda s: s["p"])
     return _patches(spark, sf).select(
-        "row", "col", F.size("patch").cast("long").alias("cells"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
-        F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+        "row", "col", F.size("p").cast("long").alias("cells"),
+        F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
+        F.array_min("p").alias("low"), F.array_max("p").alias("high"))
 
 
 @query(sql('SELECT "row", col, round(centre_mean, 6) AS centre_mean FROM (' + _CENTRES.format(
     agg='avg(b.p) FILTER (abs(b."row" - a."row") <= 2 AND abs(b.col - a.col) <= 2) AS centre_mean') + ")", "grid", "truth"))
 def patch_centre_mean(spark, sf):
-    return six(T.centre_mean(_patches(spark, sf), "p"), "centre_mean")
+    return six(T.centre_mean(_patches(spark, sf), "p", 7), "centre_mean")
 
 
 def _patch_model(pdf: pd.DataFrame) -> pd.Series:
-    return pdf["patch"].map(lambda cells: sum(c["p"] for c in cells) / len(cells))
+    return pdf["p"].map(lambda cells: cells.mean())
 
 
 @query(sql('SELECT "row", col, round(p, 6) AS p FROM (' + _CENTRES.format(agg="avg(b.p) AS p") + ")", "grid", "truth"))

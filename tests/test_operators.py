@@ -104,7 +104,7 @@ def test_corners_match_published_metadata(spark):
 
 def test_distance_to_split_counts_blocks_only(spark, pixels):
     pts = pixels([(0, 0), (10, 10), (39, 39)], "row int, col int")
-    got = [r[0] for r in pts.select(G.distance_to_split(40, 40, (1, 7, 9, 10))).collect()]
+    got = [r["d"] for r in G.with_split_distance(pts, 40, 40, (1, 7, 9, 10), "d").collect()]
     cells = [(r, c) for b, r0, r1, c0, c1 in G.block_rectangles(40, 40) if b in (1, 7, 9, 10)
              for r in range(r0, r1) for c in range(c0, c1)]
     want = [min(math.hypot(r - a, c - b) for a, b in cells) for r, c in ((0, 0), (10, 10), (39, 39))]
