@@ -124,21 +124,20 @@ def with_split_distance(df: DataFrame, height: int, width: int, target: tuple[in
     """Append the Euclidean distance in pixels to the nearest pixel of the target blocks.
 
     Closed form over at most per_side^2 rectangles; no join, no distance raster.
-    Cells outside the raster belong to no block.
+    Cells outside the raster belong to no block.  The rectangles are one constant
+    array, which keeps the expression small when the optimizer copies a filter on it
+    through joins.
     """
-    rects = block_rectangles(height, width, per_side)
-
-    def squared_gap(axis: str, lo: int, hi: int) -> Column:
-        gap = F.greatest(F.lit(lo) - F.col(axis), F.col(axis) - F.lit(hi - 1), F.lit(0)).cast("double")
-        return gap * gap
-
-    # Blocks form a lattice: per_side row gaps and per_side column gaps cover them all.
-    rows = F.array(*[squared_gap("row", rects[i * per_side][1], rects[i * per_side][2]) for i in range(per_side)])
-    cols = F.array(*[squared_gap("col", rects[j][3], rects[j][4]) for j in range(per_side)])
-    gaps = df.withColumn("_gr", rows).withColumn("_gc", cols)
-    sums = [F.col("_gr")[b // per_side] + F.col("_gc")[b % per_side] for b in target]
-    nearest = sums[0] if len(sums) == 1 else F.least(*sums)
-    return gaps.withColumn(name, F.sqrt(nearest)).drop("_gr", "_gc")
+    rects = F.array(*[
+        F.struct(F.lit(r0).alias("r0"), F.lit(r1 - 1).alias("r1"), F.lit(c0).alias("c0"), F.lit(c1 - 1).alias("c1"))
+        for b, r0, r1, c0, c1 in block_rectangles(height, width, per_side) if b in target])
+
+    def squared(b: Column) -> Column:
+        dy = F.greatest(b["r0"] - F.col("row"), F.col("row") - b["r1"], F.lit(0)).cast("double")
+        dx = F.greatest(b["c0"] - F.col("col"), F.col("col") - b["c1"], F.lit(0)).cast("double")
+        return F.pow(dy, F.lit(2.0)) + F.pow(dx, F.lit(2.0))
+
+    return df.withColumn(name, F.sqrt(F.array_min(F.transform(rects, squared))))
 
 
 def stack_bands(df: DataFrame, bands: list[str], *keys: str | Column) -> DataFrame:

@@ -253,7 +253,7 @@ def overlap_average(scored: DataFrame) -> DataFrame:
 
 
 def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[str],
-            on_border: str = "raise", tile: int = 128) -> DataFrame:
+            on_border: str = "raise") -> DataFrame:
     """Square patches: row, col and per column an array of (2r+1)^2 values, row-major.
 
     Pixels are shuffled once by tile and patches are cut from the tile's arrays, so
@@ -263,7 +263,10 @@ def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[st
     if on_border not in ("raise", "skip"):
         raise ValueError("on_border is 'raise' or 'skip'")
     columns = list(columns)
-    side, width = tile + 2 * radius, 2 * radius + 1
+    width = 2 * radius + 1
+    # Even if every pixel is a centre, a tile's patches stay near 128 MB.
+    tile = min(max(int((16e6 / (width**2 * len(columns))) ** 0.5), 16), 128)
+    side = tile + 2 * radius
 
     def cut(pdf: pd.DataFrame, row0: int, col0: int) -> pd.DataFrame:
         y, x = pdf["row"].to_numpy() - (row0 - radius), pdf["col"].to_numpy() - (col0 - radius)
@@ -281,7 +284,8 @@ def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[st
         for c in columns:
             a = np.full((side, side), np.nan)
             a[y[cell], x[cell]] = pdf[c].to_numpy(dtype=float, na_value=np.nan)[cell]
-            out[c] = list(windows(a, (width, width))[cy - radius, cx - radius].reshape(len(cy), width * width))
+            cut_out = windows(a, (width, width))[cy - radius, cx - radius].reshape(len(cy), width * width)
+            out[c] = pd.Series(list(cut_out), dtype=object)
         return pd.DataFrame(out)
 
     cells = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
