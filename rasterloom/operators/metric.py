@@ -56,7 +56,9 @@ def match_sums(pred: DataFrame, truth: DataFrame, offsets: Sequence[tuple[int, i
     by, truth_by = list(by), list(truth_by)
     key = [*truth_by, "row", "col"]
     # With groups, zero scores stay in so that an all-zero group still counts its misses.
+    # The NULL tests make both joins see the same plan, so its exchange is reused.
     hot = pred if by else pred.filter(F.col("p") > 0)
+    hot = hot.filter(F.col("row").isNotNull() & F.col("col").isNotNull())
     hot = hot.select(*by, "row", "col", F.col("p").cast("double").alias("p"))
     best = (spread_truth(truth, offsets, truth_by).join(hot, key)
             .groupBy(*by, "t_row", "t_col").agg(F.max(F.col("p") * F.col("w")).alias("best")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpoint
 
-_TAKE = 100_000  # largest k that one task sorts
+_TAKE = 5_000    # largest k for take-ordered, where one task merges k rows of every partition
 _BINS = 4096
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition position here
 
@@ -26,8 +26,8 @@ def best_first(score: str = "p") -> list[Column]:
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-partitioned, sorted and checkpointed; ``_pid``/``_pos`` name the place."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # No partition count: AQE may merge neighbouring ranges, which keeps them ordered.
+    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     # The id depends on the physical partition, so it has to be stored once
     # before anything joins on it.
@@ -95,7 +95,7 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], rank: str | None = Non
     """First ``k`` rows in ``order``; ``rank`` names an optional position column.
 
     Small ``k`` is Spark's own take-ordered.  Beyond that a global rank is cut, so
-    the k rows are never gathered in one task; ``lead`` names the numeric column
+    k rows per partition never meet in one task; ``lead`` names the numeric column
     that ``order`` starts with (descending), which then drops the certain losers
     before the range shuffle.
     """
