@@ -133,6 +133,10 @@ def _thin_sql(ks, powers, radius: int) -> str:
                'ranked AS (SELECT "row", col, p, thin_rank AS pick FROM picks)', recursive=True)
 
 
+def _radii_sql(ks, powers, radii) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_thin_sql(ks, powers, r)})" for r in radii)
+
+
 _COLS = ["power", "k", "selected", "tp_pixels", "tp_w", "fp_w", "precision", "recall", "threshold_raw", "dti"]
 
 
@@ -191,9 +195,9 @@ def sweep_k_power_other_model(spark, sf):
 RADII = [0, 1, 2, 3, 5, 7, 10, 15, 20, 30]
 
 
-@query()
+@query(_radii_sql([600], [0.005], RADII))
 def sweep_thinning_radius(spark, sf):
-    """Ten radii, one thinning each; the oracle covers single radii below."""
+    """Ten radii, one thinning each."""
     return _rank_out(_run(spark, sf, Q.thinned_sweep, [600], [0.005], RADII), "thin_radius")
 
 
@@ -224,7 +228,7 @@ def sweep_thinned_power(spark, sf):
 K10 = [400, 450, 500, 550, 600, 650, 700, 750, 800, 850]
 
 
-@query()
+@query(_radii_sql(K10, [0.001], [0, 1, 2, 3]))
 def sweep_radius_k(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K10, [0.001], [0, 1, 2, 3]), "thin_radius")
 
@@ -232,10 +236,6 @@ def sweep_radius_k(spark, sf):
 K8, P8B = [700, 750, 800, 850, 900, 950, 1000, 1050], [5e-5, 1e-4, 2e-4, 5e-4, 0.001, 0.002, 0.005, 0.01]
 
 
-def _radii_sql(ks, powers, radii) -> str:
-    return " UNION ALL ".join(f"SELECT * FROM ({_thin_sql(ks, powers, r)})" for r in radii)
-
-
 @query(_radii_sql(K8, P8B, [1, 2]))
 def sweep_k_power_radius(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K8, P8B, [1, 2]), "thin_radius")

@@ -16,22 +16,18 @@ ORDER = '(ORDER BY p DESC, "row" DESC, col DESC)'
 
 
 def thin_cte(source: str, radius: int, name: str = "picks") -> list[str]:
-    """Recursive CTE: a pixel is picked once all better neighbours are dropped, dropped once one is picked."""
+    """The sequential visit as a recursive CTE: take the best pixel left, drop its window, repeat."""
+    if radius == 0:
+        return [f'{name} AS (SELECT "row", col, p, row_number() OVER {ORDER} AS thin_rank FROM {source})']
     r = 2 * radius
-    span = ", ".join(f"({dy}, {dx})" for dy in range(-r, r + 1) for dx in range(-r, r + 1) if (dy, dx) != (0, 0))
     return [
         f'{name}_pts AS MATERIALIZED (SELECT row_number() OVER {ORDER} AS id, "row", col, p FROM {source})',
-        f'''{name}_edges AS MATERIALIZED (SELECT a.id, b.id AS better FROM {name}_pts a
-          CROSS JOIN (VALUES {span}) v(dy, dx)
-          JOIN {name}_pts b ON b."row" = a."row" + dy AND b.col = a.col + dx WHERE b.id < a.id)''',
-        f'''{name}_state(id, s) USING KEY (id) AS (
-          SELECT id, CASE WHEN id IN (SELECT id FROM {name}_edges) THEN 0 ELSE 1 END AS s FROM {name}_pts
-          UNION
-          (SELECT id, s FROM (SELECT e.id, CASE WHEN bool_or(b.s = 1) THEN 2 WHEN bool_and(b.s = 2) THEN 1 ELSE 0 END AS s
-            FROM recurring.{name}_state c JOIN {name}_edges e ON e.id = c.id
-            JOIN recurring.{name}_state b ON b.id = e.better WHERE c.s = 0 GROUP BY e.id) WHERE s <> 0))''',
-        f'''{name} AS (SELECT "row", col, p, row_number() OVER {ORDER} AS thin_rank
-          FROM {name}_pts JOIN {name}_state USING (id) WHERE s = 1)''']
+        f'''{name}_walk(step, id, "row", col, p) AS (SELECT 0, id, "row", col, p FROM {name}_pts
+          UNION ALL SELECT w.step + 1, w.id, w."row", w.col, w.p FROM {name}_walk w,
+            (SELECT "row" AS pr, col AS pc FROM {name}_walk ORDER BY id LIMIT 1) b
+          WHERE abs(w."row" - pr) > {r} OR abs(w.col - pc) > {r})''',
+        f'''{name} AS (SELECT min_by("row", id) AS "row", min_by(col, id) AS col, max(p) AS p,
+          CAST(step + 1 AS BIGINT) AS thin_rank FROM {name}_walk GROUP BY step)''']
 
 
 _OUT = 'SELECT "row", col, p, thin_rank FROM picks'
