@@ -43,12 +43,15 @@ def _level(value: Column, cuts: Sequence[float], descending: bool) -> Column:
 
 
 def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Level, n_levels: int,
-           radius: float) -> DataFrame:
-    """level_no, power, tp, fp, fn, selected, hits, threshold for all levels.
+           radius: float, by: dict[str, Sequence[int]] | None = None) -> DataFrame:
+    """by..., level_no, power, tp, fp, fn, selected, hits, threshold for all levels.
 
     ``pred``: row, col, p and what ``level`` reads.  ``level`` maps a column getter
-    and q = p^power to the level of a pixel.
+    and q = p^power to the level of a pixel.  ``by`` names an integer column of
+    ``pred`` with its values: each value is a selection of its own.
     """
+    by = by or {}
+    keys = [*by, "power", "level_no"]
     exps = F.explode(F.array(*[F.lit(float(e)) for e in powers]))
     offsets = weighted_disc(radius, linear_kernel(radius))
     marks = F.coalesce(F.col("influence"), F.lit(0.0))
@@ -57,15 +60,15 @@ def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Le
     # False positives, counts and hits: one partial aggregation per (power, level).
     fp = (hot.join(truth_reach(truth, offsets), ["row", "col"], "left").withColumn("power", exps).withColumn("q", F.pow("p", "power"))
           .withColumn("level_no", level(F.col, F.col("q"))).filter(F.col("level_no") < n_levels)
-          .groupBy("power", "level_no")
+          .groupBy(*keys)
           .agg(F.sum(F.col("q") * (1 - marks)).alias("fp"), F.count(F.lit(1)).alias("selected"),
                F.count(F.when(marks == 1.0, 1)).alias("hits"), F.min("p").alias("low")))
 
     # True positives: the neighbours of a truth pixel (bounded) stay in one row.  Walking
     # them in level order, each rise of the best match is credited to its level, so only
     # (power, level) sums leave the task.
-    cols = [c for c in pred.columns if c not in ("row", "col")]
-    around = (spread_truth(truth, offsets).join(hot, ["row", "col"]).groupBy("t_row", "t_col")
+    cols = [c for c in pred.columns if c not in ("row", "col", *by)]
+    around = (spread_truth(truth, offsets).join(hot, ["row", "col"]).groupBy(*by, "t_row", "t_col")
               .agg(F.collect_list(F.struct(*cols, "w")).alias("nb")))
 
     def match(x: Column) -> Column:
@@ -81,21 +84,22 @@ def _sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[float], level: Le
             x["hit"].alias("best"), F.concat(acc["out"], F.array(rise)).alias("out"))).otherwise(acc)
 
     gains = (around.withColumn("power", exps)
-             .select("power", F.inline(F.aggregate(F.array_sort(F.transform("nb", match)), empty, climb,
+             .select(*by, "power", F.inline(F.aggregate(F.array_sort(F.transform("nb", match)), empty, climb,
                                                    lambda acc: acc["out"])))
              .filter(F.col("level_no") < n_levels)
-             .groupBy("power", "level_no").agg(F.sum("gain").alias("tp")))
+             .groupBy(*keys).agg(F.sum("gain").alias("tp")))
 
     # Small from here: powers x levels.
     frame = (pred.sparkSession.range(n_levels).select(F.col("id").cast("int").alias("level_no"))
              .withColumn("power", exps))
-    table = (frame.join(F.broadcast(fp), ["power", "level_no"], "left")
-             .join(F.broadcast(gains), ["power", "level_no"], "left"))
-    upto = (Window.partitionBy("power").orderBy("level_no")
+    for name, values in by.items():
+        frame = frame.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in values])))
+    table = frame.join(F.broadcast(fp), keys, "left").join(F.broadcast(gains), keys, "left")
+    upto = (Window.partitionBy(*by, "power").orderBy("level_no")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     n_truth = truth.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = table.select(
-        "power", "level_no",
+        *keys,
         *[F.coalesce(F.sum(c).over(upto), F.lit(0.0)).alias(c) for c in ("tp", "fp")],
         *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("long").alias(c) for c in ("selected", "hits")],
         F.coalesce(F.min("low").over(upto), F.lit(0.0)).alias("threshold_raw"))
@@ -134,14 +138,15 @@ def threshold_power_sweep(pred: DataFrame, truth: DataFrame, powers: Sequence[fl
 
 
 def _rank_sweep(ranked: DataFrame, truth: DataFrame, ks: Sequence[int], powers: Sequence[float],
-                radius: float, alpha: float, beta: float) -> DataFrame:
+                radius: float, alpha: float, beta: float,
+                by: dict[str, Sequence[int]] | None = None) -> DataFrame:
     cuts = sorted(int(k) for k in ks)
-    pred = ranked.filter(F.col("pick_rank") <= cuts[-1]).select("row", "col", "p", "pick_rank")
+    pred = ranked.filter(F.col("pick_rank") <= cuts[-1]).select("row", "col", "p", "pick_rank", *(by or {}))
 
     def level(get: Callable[[str], Column], q: Column) -> Column:
         return _level(get("pick_rank"), cuts, descending=False)
 
-    out = _sweep(pred, truth, powers, level, len(cuts), radius)
+    out = _sweep(pred, truth, powers, level, len(cuts), radius, by)
     out = _name_level(_scored(out, alpha, beta), cuts, "k", "int")
     counts = out.withColumnsRenamed({"hits": "tp_pixels", "tp": "tp_w", "fp": "fp_w", "fn": "fn_w"})
     counts = (counts.withColumn("tp", F.col("tp_pixels")).withColumn("fp", F.col("selected") - F.col("tp_pixels"))
@@ -162,12 +167,10 @@ def thinned_sweep(pred: DataFrame, truth: DataFrame, ks: Sequence[int], powers:
                   beta: float = BETA) -> DataFrame:
     """K x power x thinning radius.  Thins once per radius: picks do not depend on power,
     and the first K picks are a prefix of the first max(K)."""
-    parts = []
-    for r in radii:
-        picks = thin(pred.select("row", "col", "p"), r, max(ks)).withColumnRenamed("thin_rank", "pick_rank")
-        parts.append(_rank_sweep(picks, truth, ks, powers, radius, alpha, beta)
-                     .withColumn("thin_radius", F.lit(int(r))))
-    return reduce(DataFrame.unionByName, parts)
+    picks = [thin(pred.select("row", "col", "p"), r, max(ks)).withColumn("thin_radius", F.lit(int(r)))
+             for r in radii]
+    ranked = reduce(DataFrame.unionByName, picks).withColumnRenamed("thin_rank", "pick_rank")
+    return _rank_sweep(ranked, truth, ks, powers, radius, alpha, beta, {"thin_radius": radii})
 
 
 def fixed_setting(pred: DataFrame, truth: DataFrame, k: int, power: float, thin_radius: int,
