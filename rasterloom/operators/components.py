@@ -151,13 +151,13 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, res: float = 1.0,
     # Join key root may be hot (one cluster can hold most points): AQE splits it, and
     # the cluster table is broadcast by size when it is small.
     clustered = rooted.join(numbered, "root").select("row", "col", "cluster_id")
-    held = checkpoint(clustered)
-    all_ids = flagged.select("row", "col", "is_core").join(held, ["row", "col"], "left")
+    # Stored, so that later passes over the clusters do not repeat the tile work.
+    all_ids = checkpoint(flagged.select("row", "col", "is_core").join(clustered, ["row", "col"], "left"))
     reached = focal(all_ids, "cluster_id", how="min", offsets=near, name="near_id", tile=tile)
-    return (all_ids.join(reached, ["row", "col"])
-            .select("row", "col", "is_core",
-                    F.coalesce("cluster_id", F.col("near_id").cast("long"), F.lit(-1))
-                    .cast("long").alias("cluster_id")))
+    return checkpoint(all_ids.join(reached, ["row", "col"])
+                      .select("row", "col", "is_core",
+                              F.coalesce("cluster_id", F.col("near_id").cast("long"), F.lit(-1))
+                              .cast("long").alias("cluster_id")))
 
 
 def cluster_summary(points: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def exceedance(scored: DataFrame, cuts: Sequence[float], p: str = "p") -> DataFr
     at = _at_or_above(binned, cuts, "threshold", F.sum("n").alias("n"))
     return (_all_cuts(scored, cuts, "threshold").join(at, "threshold", "left")
             .select("threshold", F.coalesce("n", F.lit(0)).alias("n"))
-            .withColumn("percent", F.col("n") * 100.0 / total))
+            .withColumn("percent", F.try_divide(F.col("n") * 100.0, total)))
 
 
 def threshold_sweep(scored: DataFrame, cuts: Sequence[float], guard: float | None = None) -> DataFrame:
@@ -171,7 +171,8 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None,
         low, high = span["lo"], span["hi"]
     else:
         low, high = F.lit(float(lo)), F.lit(float(hi))
-    bin_no = F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    width = F.when(high > low, high - low).otherwise(F.lit(1.0))    # one value: all in bin 0
+    bin_no = F.least(F.floor((v - low) / width * bins), F.lit(bins - 1)).cast("int")
     counts = (df.filter((v >= low) & (v <= high)).groupBy(bin_no.alias("bin"))
               .agg(F.count(F.lit(1)).alias("n")))
     return (df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -242,7 +243,7 @@ def distance_shares(distances: DataFrame, limits: Sequence[float], metres: str =
     total = F.count(F.lit(1))
     one = distances.agg(F.array(*[
         F.struct(F.lit(float(m)).alias("within_m"), F.count(F.when(F.col(metres) <= m, 1)).alias("n"),
-                 (F.count(F.when(F.col(metres) <= m, 1)) / total).alias("share")) for m in limits]).alias("a"))
+                 F.try_divide(F.count(F.when(F.col(metres) <= m, 1)), total).alias("share")) for m in limits]).alias("a"))
     return one.select(F.inline("a"))
 
 
@@ -297,5 +298,5 @@ def chebyshev_shares(points: DataFrame, truth: DataFrame, limits: Sequence[int])
     hit = points.select("row", "col").join(near, ["row", "col"])
     one = hit.agg(F.array(*[
         F.struct(F.lit(r).alias("within_px"), F.count(F.when(F.col("d") <= r, 1)).alias("n"),
-                 (F.count(F.when(F.col("d") <= r, 1)) / total).alias("share")) for r in limits]).alias("a"))
+                 F.try_divide(F.count(F.when(F.col("d") <= r, 1)), total).alias("share")) for r in limits]).alias("a"))
     return one.select(F.inline("a"))

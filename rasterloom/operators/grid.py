@@ -202,8 +202,8 @@ def impute_group_median(df: DataFrame, bands: list[str], group: str, mode: str =
     med = (percentiles(long, "value", [0.5], ["feature", group])
            .groupBy(group).agg(*[F.max(F.when(F.col("feature") == b, F.col("value"))).alias(f"_m_{b}")
                                  for b in bands]))
-    # One row per cohort.
-    joined = df.join(F.broadcast(med), group, "left")
+    # No hint: the median table is broadcast if it measures small, else AQE splits a hot group.
+    joined = df.join(med, group, "left")
     return joined.withColumns({
         b: F.when(is_invalid(F.col(b), mode), F.coalesce(f"_m_{b}", F.lit(0.0))).otherwise(F.col(b))
         for b in bands}).drop(*[f"_m_{b}" for b in bands])
