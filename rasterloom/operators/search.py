@@ -128,7 +128,8 @@ SORTS = {"distance": [("distance_km", True)], "rank": [("rank", True)], "score":
 
 def sorted_results(hits: DataFrame, by: str = "distance", limit: int | None = 25) -> DataFrame:
     """User-chosen order (distance, rank or score) with ``rank`` as tie-break and a limit."""
-    keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in SORTS[by]] + [F.col("rank").asc()]
+    keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in SORTS[by]]
+    keys += [F.col(c).asc() for c in ("rank", "search_id") if c in hits.columns]
     out = hits.orderBy(*keys)
     return out.limit(limit) if limit else out
 

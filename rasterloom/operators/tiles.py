@@ -253,15 +253,17 @@ def overlap_average(scored: DataFrame) -> DataFrame:
 
 
 def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[str],
-            on_border: str = "raise") -> DataFrame:
+            on_border: str = "raise", shape: tuple[int, int] | None = None) -> DataFrame:
     """Square patches: row, col and per column an array of (2r+1)^2 values, row-major.
 
     Pixels are shuffled once by tile and patches are cut from the tile's arrays, so
     the (2r+1)^2-fold copy exists only in the result.
-    on_border "skip" drops patches with an absent cell, "raise" fails the job on one.
+    on_border "skip" drops patches with an absent cell, "raise" fails the job on one;
+    "edge" first repeats the border cells of the raster of ``shape`` (height, width)
+    outwards and then skips patches that still lack a cell.
     """
-    if on_border not in ("raise", "skip"):
-        raise ValueError("on_border is 'raise' or 'skip'")
+    if on_border not in ("raise", "skip", "edge") or (on_border == "edge") != (shape is not None):
+        raise ValueError("on_border is 'raise', 'skip', or 'edge' with a shape")
     columns = list(columns)
     width = 2 * radius + 1
     # Even if every pixel is a centre, a tile's patches stay near 128 MB.
@@ -271,9 +273,18 @@ def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[st
     def cut(pdf: pd.DataFrame, row0: int, col0: int) -> pd.DataFrame:
         y, x = pdf["row"].to_numpy() - (row0 - radius), pdf["col"].to_numpy() - (col0 - radius)
         cell = ~pdf["is_centre"].to_numpy()
+        source = np.arange(side)
+        gy = gx = source
+        if shape is not None:
+            gy = np.clip(source + row0 - radius, 0, shape[0] - 1) - (row0 - radius)
+            gx = np.clip(source + col0 - radius, 0, shape[1] - 1) - (col0 - radius)
         there = np.zeros((side, side), dtype=bool)
         there[y[cell], x[cell]] = True
+        there = there[np.ix_(gy, gx)]
         cy, cx = y[~cell], x[~cell]
+        if not len(cy):
+            return pd.DataFrame({"row": cy.astype("int32"), "col": cx.astype("int32"),
+                                 **{c: pd.Series([], dtype=object) for c in columns}})
         windows = np.lib.stride_tricks.sliding_window_view
         whole = windows(there, (width, width))[cy - radius, cx - radius].all(axis=(1, 2))
         if on_border == "raise" and not whole.all():
@@ -284,7 +295,7 @@ def patches(df: DataFrame, centres: DataFrame, radius: int, columns: Sequence[st
         for c in columns:
             a = np.full((side, side), np.nan)
             a[y[cell], x[cell]] = pdf[c].to_numpy(dtype=float, na_value=np.nan)[cell]
-            cut_out = windows(a, (width, width))[cy - radius, cx - radius].reshape(len(cy), width * width)
+            cut_out = windows(a[np.ix_(gy, gx)], (width, width))[cy - radius, cx - radius].reshape(len(cy), width * width)
             out[c] = pd.Series(list(cut_out), dtype=object)
         return pd.DataFrame(out)
 

@@ -156,6 +156,24 @@ def edge_padded_windows(spark, sf):
     return out.select(F.col("c_row").alias("row"), F.col("c_col").alias("col"), "dy", "dx", "p")
 
 
+@query(sql('''SELECT a."row", a.col, count(*) AS cells, round(sum(b.p), 8) AS total, min(b.p) AS low, max(b.p) AS high FROM truth a
+    CROSS JOIN size CROSS JOIN (SELECT dy, dx FROM (SELECT unnest(range(-4, 5))::INTEGER AS dy), (SELECT unnest(range(-4, 5))::INTEGER AS dx)) o
+    JOIN grid b ON b."row" = least(greatest(a."row" + o.dy, 0), h - 1) AND b.col = least(greatest(a.col + o.dx, 0), wd - 1)
+    GROUP BY 1, 2''', "grid", "truth", "size"))
+def edge_padded_patches(spark, sf):
+    """9x9 patches around every truth pixel, border cells repeated outwards."""
+    size = shape(spark, sf)
+    cut = T.patches(grid(spark, sf, size), truth(spark, sf, size), 4, ["p"], "edge", (size.height, size.width))
+    return _patch_summary(cut)
+
+
+def _patch_summary(cut):
+    return cut.select(
+        "row", "col", F.size("p").cast("long").alias("cells"),
+        F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 8).alias("total"),
+        F.array_min("p").alias("low"), F.array_max("p").alias("high"))
+
+
 _CENTRES = '''SELECT a."row", a.col, count(*) AS cells, {agg} FROM truth a JOIN grid b ON b."row" BETWEEN a."row" - 7 AND a."row" + 7
     AND b.col BETWEEN a.col - 7 AND a.col + 7 GROUP BY 1, 2 HAVING count(*) = 225'''
 
@@ -165,13 +183,10 @@ def _patches(spark, sf):
     return T.patches(grid(spark, sf, size), truth(spark, sf, size), 7, ["p"], on_border="skip")
 
 
-@query(sql(_CENTRES.format(agg='''round(sum(b.p), 6) AS total, min(b.p) AS low, max(b.p) AS high'''), "grid", "truth"))
+@query(sql(_CENTRES.format(agg='''round(sum(b.p), 8) AS total, min(b.p) AS low, max(b.p) AS high'''), "grid", "truth"))
 def patch_extraction(spark, sf):
     """15x15 patches around truth pixels; incomplete ones are skipped."""
-    return _patches(spark, sf).select(
-        "row", "col", F.size("p").cast("long").alias("cells"),
-        F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
-        F.array_min("p").alias("low"), F.array_max("p").alias("high"))
+    return _patch_summary(_patches(spark, sf))
 
 
 @query(sql('SELECT "row", col, round(centre_mean, 6) AS centre_mean FROM (' + _CENTRES.format(

@@ -53,7 +53,7 @@ def distance_shares(spark, sf):
     return six(E.distance_shares(_nearest(spark, sf), [100, 300, 500, 1000, 2000, 5000]), "share")
 
 
-# Searches start at the corner pixels of customer nations' grid places: one circle per nation row.
+# One search circle per nation: around the candidate whose rank is the nation's number.
 _SEARCHES = '''cand AS (SELECT row_number() OVER (ORDER BY p DESC, "row" DESC, col DESC) AS rank, "row", col AS "column", p AS score, longitude, latitude
     FROM points WHERE p >= 0.8e0),
   srch AS (SELECT c.rank AS search_id, longitude AS lon, latitude AS lat, 0.5e0 + (c.rank % 3) AS radius_km FROM cand c JOIN nation ON c.rank = n_nationkey + 1)'''
@@ -84,25 +84,25 @@ def radius_search_summary(spark, sf):
     return six(S.search_summary(S.radius_search(cand, srch), srch), "nearest_km")
 
 
-@query(sql('SELECT search_id, rank, round(distance_km, 6) AS distance_km FROM hits WHERE search_id = 1 ORDER BY distance_km, rank LIMIT 25', "points", _SEARCHES, _HITS))
+@query(sql("""SELECT search_id, rank, distance_km FROM (SELECT search_id, rank, round(distance_km, 6) AS distance_km FROM hits)
+    ORDER BY distance_km, rank, search_id LIMIT 150""", "points", _SEARCHES, _HITS))
 def nearest_results(spark, sf):
-    cand, srch = _search(spark, sf)
-    hits = S.radius_search(cand, srch.filter("search_id = 1"))
-    return six(S.sorted_results(hits, "distance", 25).select("search_id", "rank", "distance_km"), "distance_km")
+    """The 150 nearest results; distances are rounded first so that both engines see the same ties."""
+    hits = S.radius_search(*_search(spark, sf)).select("search_id", "rank", "distance_km")
+    return S.sorted_results(six(hits, "distance_km"), "distance", 150)
 
 
-@query(sql('SELECT search_id, rank, score FROM hits WHERE search_id <= 3 ORDER BY score DESC, rank LIMIT 150', "points", _SEARCHES, _HITS))
+@query(sql('SELECT search_id, rank, score FROM hits ORDER BY score DESC, rank, search_id LIMIT 25', "points", _SEARCHES, _HITS))
 def best_results(spark, sf):
-    cand, srch = _search(spark, sf)
-    hits = S.radius_search(cand, srch.filter("search_id <= 3"))
-    return S.sorted_results(hits, "score", 150).select("search_id", "rank", "score")
+    hits = S.radius_search(*_search(spark, sf))
+    return S.sorted_results(hits, "score", 25).select("search_id", "rank", "score")
 
 
 @query(sql('''SELECT rank, printf('%.6f', score) AS score, printf('%.4f', distance_km) AS distance_km, printf('%.6f', latitude) AS latitude,
-    printf('%.6f', longitude) AS longitude, "row", "column" FROM hits WHERE search_id = 1''', "points", _SEARCHES.replace("p AS score", "sqrt(p) AS score"), _HITS))
+    printf('%.6f', longitude) AS longitude, "row", "column" FROM hits''', "points", _SEARCHES.replace("p AS score", "sqrt(p) AS score"), _HITS))
 def search_export_layout(spark, sf):
     cand, srch = _search(spark, sf)
-    hits = S.radius_search(cand.withColumn("score", F.sqrt("score")), srch.filter("search_id = 1"))
+    hits = S.radius_search(cand.withColumn("score", F.sqrt("score")), srch)
     return search_export(hits)
 
 
