@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import compression, toxicity  # noqa: F401
+    from . import compression, rules, toxicity  # noqa: F401
