@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 
 __all__ = ["checkpoint", "table", "shared_folder", "fold", "labelled_sample", "slices",
-           "flat_words", "mix", "ascii_lower", "fit_logistic", "sigmoid"]
+           "flat_words", "mix", "powers", "ascii_lower", "fit_logistic", "sigmoid"]
 
 #: A-Z and a-z, for lower-casing that leaves all other letters alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,20 +90,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     filled = 1
     while filled < n:
         step = min(filled, n - filled)
-        out[filled:filled + step] = out[:step] * (out[filled - 1] * _BASE)
+        jump = int(out[filled - 1]) * int(_BASE) % (1 << 64)
+        out[filled:filled + step] = out[:step] * np.uint64(jump)
         filled += step
     return out
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
 def flat_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without ASCII white space) and the word count per text."""
     raw = b" ".join((t or "").encode() for t in texts) + b" "
@@ -113,11 +111,11 @@ def flat_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray
     blank = _SPACE[data]
     edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    powers = _powers(len(data) + 1)
+    power = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[:-1], out=total[1:])
+    np.cumsum(_BYTE[data] * power[:-1], out=total[1:])
     # Powers grow with the position; aligned to the end, equal words get equal sums.
-    value = (total[ends] - total[starts]) * powers[len(data) - ends]
+    value = (total[ends] - total[starts]) * power[len(data) - ends]
     hashes = mix(value ^ (ends - starts).astype(np.uint64))
     sizes = np.fromiter((len((t or "").encode()) + 1 for t in texts), np.int64, len(texts))
     stops = np.cumsum(sizes)

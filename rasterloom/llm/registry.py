@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import compression, rules, tokenfile, toxicity  # noqa: F401
+    from . import compression, pieces, rules, tokenfile, toxicity  # noqa: F401
