@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import compression, pieces, pii, rules, tokenfile, toxicity  # noqa: F401
+    from . import compression, decontaminate, pieces, pii, rules, tokenfile, toxicity  # noqa: F401
