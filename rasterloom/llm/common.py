@@ -90,13 +90,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def powers(n: int) -> np.ndarray:
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     filled = 1
     while filled < n:
         step = min(filled, n - filled)
-        jump = int(out[filled - 1]) * int(_BASE) % (1 << 64)
+        jump = int(out[filled - 1]) * int(base) % (1 << 64)
         out[filled:filled + step] = out[:step] * np.uint64(jump)
         filled += step
     return out
@@ -114,8 +117,8 @@ def flat_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray
     power = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:-1], out=total[1:])
-    # Powers grow with the position; aligned to the end, equal words get equal sums.
-    value = (total[ends] - total[starts]) * power[len(data) - ends]
+    # Powers grow with the position; divided by that of the first byte, equal words get equal sums.
+    value = (total[ends] - total[starts]) * powers(len(data) + 1, _INVERSE)[starts]
     hashes = mix(value ^ (ends - starts).astype(np.uint64))
     sizes = np.fromiter((len((t or "").encode()) + 1 for t in texts), np.int64, len(texts))
     stops = np.cumsum(sizes)
