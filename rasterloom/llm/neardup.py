@@ -8,8 +8,12 @@ Within a bucket, candidate pairs are star-shaped: a few hubs against the members
 components.  Confirmed links merge components, after which a bucket of one component is
 done; in the others, members outside the bucket's largest component become hubs in turn,
 more of them each round.  A bucket ends when every such member has been a hub, so all pairs
-of one bucket that end in different components have been compared on their full sets, yet
-a group of near copies costs a few comparisons per member.
+of one bucket that end in different components have been compared.
+
+Two bounds on the intersection, both exact, spare most comparisons in crowded buckets: a
+shingle that no other crowded text has is in no intersection, and two texts compared with
+the same first hub cannot share the hub's shingles that either of them lacks.  So a group of
+near copies costs a few comparisons of full sets per member.
 
 Two sets of the least similarity that links share no bucket with probability
 (1 - least ** ROWS) ** BANDS, about 5e-11 for the settings here.
@@ -36,7 +40,8 @@ from .registry import query
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-HUBS, MORE = 4, 8           # hubs of a bucket in the second round, and their growth per round
+HUBS, MORE = 8, 16          # hubs of a bucket in the second round, and their growth per round
+CROWD = 32                  # classes in a bucket from which the bounds pay
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -114,47 +119,76 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) whose full sets are similar: 100 * intersection >= percent * union."""
+def _pairs(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text_a, text_b; the hub side a is joined last, so that the rows of a hub arrive together."""
+    return (edges.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+            .select("a", "b", "text_a", "text_b"))
+
+
+def compared(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) on their full sets: linked (100 * intersection >= percent * union), extra
+    (shingles of b that a lacks), lacks (bit i of the array: b lacks the i-th shingle of a), na.
+
+    Rows of a document without set, or with several texts, are compared one by one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
         for batch in batches:
             for low, high in slices(batch.column(3)):
                 part = batch.slice(low, high - low)
-                members = shingle_sets(part.column(3).to_pylist(), size)
-                keep = []
-                for i, (a, m) in enumerate(zip(part.column(0).to_pylist(), members)):
-                    text = part.column(2)[i]
-                    if last is None or a != last[0] or text != last[1]:
-                        last, hub = (a, text), shingle_sets([text.as_py()], size)[0]
-                    common = len(np.intersect1d(hub, m, assume_unique=True))
-                    if 100 * common >= percent * (len(hub) + len(m) - common):
-                        keep.append(i)
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                known = list(dict.fromkeys(left + right))
+                sets = dict(zip(known, shingle_sets(known, size)))
+                out = [_compare(sets[x], sets[y], percent) for x, y in zip(left, right)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64()))],
-                    ["a", "b"])
+                    [part.column(0), part.column(1), pa.array([o[0] for o in out], pa.bool_()),
+                     pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())),
+                     pa.array([len(sets[x]) for x in left], pa.int64())],
+                    ["a", "b", "linked", "extra", "lacks", "na"])
+
+    return _pairs(edges, texts).mapInArrow(
+        run, "a long, b long, linked boolean, extra long, lacks array<long>, na long")
 
-    # The hub side is joined last, so that the rows of a hub arrive together.
-    both = (edges.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b"))
-    return both.mapInArrow(run, "a long, b long").distinct()
 
+def _compare(hub: np.ndarray, member: np.ndarray, percent: int) -> tuple[bool, int, np.ndarray]:
+    at = np.minimum(np.searchsorted(member, hub), max(len(member) - 1, 0))
+    has = member[at] == hub if len(member) else np.zeros(len(hub), bool)
+    common = int(has.sum())
+    bits = np.packbits(np.append(~has, np.zeros(-len(hub) % 64, bool)))
+    return (100 * common >= percent * (len(hub) + len(member) - common), len(member) - common,
+            np.frombuffer(bits.tobytes(), np.int64))
 
-def _fits(n: str, m: str, percent: int):
-    """Sizes that allow a link."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+def _possible(most, n, m, percent: int):
+    """Whether an intersection of at most ``most`` allows a link of sets of n and m shingles."""
+    return 100 * most >= percent * (n + m - most)
+
+
+def _unique_shingles(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
+    """rep, u: shingles of each crowded text that no other crowded text has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), size)
+                rep = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rep, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+
+    wanted = texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return (wanted.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
+            .groupBy("shingle").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("c"))
+            .filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u")))
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """rep, n, comp after merging along ``links`` between the components of before."""
+    """``nodes`` with comp after merging along ``links`` between the components of before."""
     comp = nodes.select("rep", "comp")
     ends = (links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
             .select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
     roots = merge_labels(ends).withColumnRenamed("node", "comp")
     # comp may be hot (one component can hold most nodes): both sides are left to AQE.
     return checkpoint(nodes.join(roots, "comp", "left")
-                      .select("rep", "n", F.coalesce("root", "comp").alias("comp")))
+                      .withColumn("comp", F.coalesce("root", "comp")).drop("root"))
 
 
 def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -163,41 +197,54 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = (made.filter("digest is not null").groupBy("digest")
                .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
     member = classes.filter("rep is not null").select("rep", "n", F.explode("buckets").alias("bucket"))
-    shared = (member.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last"))
-              .filter("hub.rep < last"))
-    member = checkpoint(member.join(shared, "bucket").select("bucket", "rep", "n", "hub"))
-    nodes = checkpoint(member.groupBy("rep").agg(F.first("n").alias("n")).withColumn("comp", F.col("rep")))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    member = checkpoint(member.join(shared, "bucket")
+                        .select("bucket", "rep", "n", (F.col("m") >= CROWD).alias("crowded")))
+    nodes = checkpoint(member.groupBy("rep").agg(F.first("n").alias("n"), F.max("crowded").alias("crowded")))
     texts = _texts(docs, nodes)
-
-    first = (member.filter("rep <> hub.rep").filter(_fits("n", "hub.n", percent))
-             .groupBy("rep").agg(F.min("hub.rep").alias("a")).select("a", F.col("rep").alias("b")))
+    unique = checkpoint(_unique_shingles(texts, nodes.filter("crowded"), size))
+
+    # In a crowded bucket only the core, n - u, can be shared; who cannot link with it leaves the bucket.
+    core = F.when(F.col("crowded"), F.col("n") - F.coalesce("u", F.lit(0))).otherwise(F.col("n"))
+    member = (member.join(unique, "rep", "left").withColumn("core", core)
+              .filter(_possible(F.col("core"), F.col("n"), F.col("core"), percent)).drop("u"))
+    member = checkpoint(member)
+    hub = F.struct((-F.floor(1000 * F.col("core") / F.col("n"))).alias("lone"), "rep", "n", "core")
+    hubs = member.groupBy("bucket").agg(F.min(hub).alias("hub"))
+    most = F.least("core", "hub.core")
+    first = (member.join(hubs, "bucket").filter("rep <> hub.rep")
+             .filter(_possible(most, F.col("n"), F.col("hub.n"), percent))
+             .groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
     tested = checkpoint(first)
-    nodes = _relabel(nodes, confirmed(tested, texts, size, percent))
+    seen = checkpoint(compared(tested, texts, size, percent))
+    once = seen.groupBy(F.col("b").alias("rep")).agg(      # one row each; several where a doc_id has several texts
+        F.first("a").alias("near"), F.first("na").alias("na"), F.first("extra").alias("extra"),
+        F.first("lacks").alias("lacks"), F.count(F.lit(1)).alias("rows")).filter("rows = 1").drop("rows")
+    nodes = (nodes.select("rep", "n").join(unique, "rep", "left").join(once, "rep", "left")
+             .withColumn("spare", F.col("extra") - F.coalesce("u", F.lit(0))).drop("u", "extra")
+             .withColumn("comp", F.col("rep")))
+    nodes = _relabel(checkpoint(nodes), seen.filter("linked").select("a", "b").distinct())
     used, hubs = None, HUBS
     while True:
-        at = member.select("bucket", "rep").join(nodes, "rep")
+        at = member.drop("n").join(nodes, "rep")
         sizes = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
         mixed = (sizes.groupBy("bucket")
-                 .agg(F.max(F.struct(F.col("m"), -F.col("comp"))).alias("top"), F.count(F.lit(1)).alias("c"))
-                 .filter("c > 1").select("bucket", (-F.col("top")["col2"]).alias("main")))
+                 .agg(F.max_by("comp", F.struct(F.col("m"), -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("c"))
+                 .filter("c > 1").drop("c"))
         open_ = checkpoint(at.join(mixed, "bucket"))
-        waiting = open_.filter("comp <> main").select("bucket", "rep", "n", "comp")
+        waiting = open_.filter("comp <> main").drop("main")
         if used is not None:
             waiting = waiting.join(used, ["bucket", "rep"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        chosen = checkpoint(waiting.withColumn("k", rank).filter(F.col("k") <= hubs)
-                            .select("bucket", F.col("rep").alias("hub"), F.col("n").alias("nh"),
-                                    F.col("comp").alias("ch")))
+        chosen = checkpoint(waiting.withColumn("k", rank).filter(F.col("k") <= hubs).drop("k"))
         if chosen.isEmpty():
             break
-        turn = chosen.select("bucket", F.col("hub").alias("rep"))
+        turn = chosen.select("bucket", "rep")
         used = checkpoint(turn if used is None else used.unionByName(turn))
-        edges = (open_.join(chosen, "bucket").filter((F.col("comp") != F.col("ch")) & _fits("n", "nh", percent))
-                 .select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        edges = checkpoint(edges)
+        edges = checkpoint(_candidates(open_, chosen, percent).join(tested, ["a", "b"], "left_anti"))
         tested = checkpoint(tested.unionByName(edges))
-        nodes = _relabel(nodes, confirmed(edges, texts, size, percent))
+        links = compared(edges, texts, size, percent).filter("linked").select("a", "b").distinct()
+        nodes = _relabel(nodes, links)
         hubs *= MORE
     # digest may be hot (a group of exact copies): the class side has one row each, AQE splits the other.
     labels = (classes.select("digest", "rep").join(nodes.select("rep", "comp"), "rep", "left")
@@ -208,6 +255,20 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
+def _candidates(open_: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a hub and a member of another component of its bucket that the bounds allow."""
+    x, y = open_.alias("x"), chosen.alias("y")
+    c = F.col
+    by_core = _possible(F.least("x.core", "y.core"), c("x.n"), c("y.n"), percent)
+    either = F.aggregate(F.zip_with("x.lacks", "y.lacks", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0),
+                         lambda total, k: total + k)
+    by_hub = _possible(c("x.na") - either + F.least("x.spare", "y.spare"), c("x.n"), c("y.n"), percent)
+    told = c("x.crowded") & (c("x.near") == c("y.near"))
+    return (x.join(y, (c("x.bucket") == c("y.bucket")) & (c("x.comp") != c("y.comp")) & by_core
+                   & F.when(told, by_hub).otherwise(F.lit(True)))
+            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id, text of the class representatives that share a bucket, stored in the shared folder."""
     path = shared_folder(docs.sparkSession, "candidates")
