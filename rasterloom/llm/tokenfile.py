@@ -15,7 +15,9 @@ columns of the input never matter.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -32,7 +34,7 @@ from .registry import query
 END_ID = 2
 ROW_GROUP = 16 << 20        # bytes of a row group
 PAGE = 256 << 10            # bytes of a page: the least that a selective read touches
-CACHE = 300_000             # pieces whose ids a task remembers
+CACHE = 150_000             # pieces whose ids a worker remembers, twice over
 
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -52,6 +54,11 @@ SCHEMA = T.StructType([
 #: rules always begin a new piece there, so the text on both sides can be encoded apart.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
+#: A Latin word, then punctuation that starts no contraction: two units of the byte-level rules.
+_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others count up from 256.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: b for b in _SELF} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
 
 
 class Encoder:
@@ -60,38 +67,77 @@ class Encoder:
     def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.most = most
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}       # what was known before; what is met again moves over
 
     def pieces(self, text: str) -> list[str]:
         """Parts that encode independently and join to ``text``."""
-        parts = _CUT.split(text) if _DOUBLE.search(text) else self._plain(text)
-        return [parts[0], *(" " + p for p in parts[1:])]
-
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        # Without two white spaces in a row only the ends can touch a space.
-        parts = text.split(" ")
-        if len(parts) > 1 and parts[0] == "":
-            parts[:2] = [" " + parts[1]]
-        if len(parts) > 1 and parts[-1] == "":
-            parts[-2:] = [parts[-2] + " "]
-        return parts
+        if _DOUBLE.search(text):
+            parts = _CUT.split(text)
+            return [parts[0], *(" " + p for p in parts[1:])]
+        # Without two white spaces in a row a line break is a piece of its own, and a space
+        # belongs to what follows; only the ends of the text can be left with a space alone.
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append("\n")
+            parts = line.split(" ")
+            if parts[0]:
+                out.append(parts[0])
+            out += [" " + p for p in parts[1:]]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids per text, the end id included."""
         split = [self.pieces(t) if t else [] for t in texts]
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        fresh = list({p for parts in split for p in parts if p not in known})
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at:at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = set(chain.from_iterable(split)).difference(known)
+        met = [p for p in fresh if p in older]
+        known.update((p, older[p]) for p in met)
+        fresh.difference_update(met)
+        self._learn(fresh)
+        self._learn_whole([p for p in fresh if p not in known])
         end = np.array([END_ID], "<u4").tobytes()
         return [b"".join([*map(known.__getitem__, parts), end]) for parts in split]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode plain words by the tokenizer's model, unit by unit, without its text bookkeeping."""
+        known, tokenize = self.known, self.tokenizer.model.tokenize
+        for piece in pieces:
+            match = _WORD.fullmatch(piece)
+            if match is None or any(t in piece for t in self.special):
+                continue
+            raw = b""
+            for unit in match.groups():
+                if not unit:
+                    continue
+                ids = known.get(unit)
+                if ids is None:
+                    spelled = unit.encode().decode("latin-1").translate(_SPELLED)
+                    ids = known[unit] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+                raw += ids
+            known[piece] = raw
+
+    def _learn_whole(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at:at + 4096]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+
+
+_LOADED: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept by each worker process."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
+
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Rows of SCHEMA in ascending doc_id order, one part per partition.
@@ -106,10 +152,10 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, start = TaskContext.get().partitionId(), 0
-        encoder = Encoder(tokenizer)
+        of = encoder(tokenizer)
         for batch in batches:
             for low, high in slices(batch.column(1)):
-                raw = encoder.encode(batch.column(1).slice(low, high - low).to_pylist())
+                raw = of.encode(batch.column(1).slice(low, high - low).to_pylist())
                 n = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
                 stops = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(
