@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import compression, decontaminate, neardup, pieces, pii, rules, tokenfile, toxicity, urls  # noqa: F401
+    from . import compression, decontaminate, neardup, pieces, pii, roles, rules, tokenfile, toxicity, urls  # noqa: F401
