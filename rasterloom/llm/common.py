@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-__all__ = ["checkpoint", "table", "shared_folder", "fold", "labelled_sample", "slices",
+__all__ = ["checkpoint", "table", "unused", "shared_folder", "fold", "labelled_sample", "slices",
            "flat_words", "mix", "powers", "ascii_lower", "fit_logistic", "sigmoid"]
 
 #: A-Z and a-z, for lower-casing that leaves all other letters alone.
@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, prefix: str = "_") -> str:
+    """A column prefix that no column of ``df`` starts with."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -135,7 +142,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
     With no rows or one class, the Laplace-smoothed share of that class is all it knows.
     """
-    x = np.column_stack([np.asarray(x, float).reshape(len(y), -1), np.ones(len(y))])
+    x = np.asarray(x, float)
+    x = np.column_stack([x.reshape(len(y), x.shape[1] if x.ndim > 1 else 1), np.ones(len(y))])
     w = np.zeros(x.shape[1])
     share = (np.sum(y) + 1.0) / (len(y) + 2.0)
     w[-1] = np.log(share / (1 - share))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_folder, table
+from .common import ascii_lower, shared_folder, table, unused
 from .registry import query
 
 #: Fixed value: a word is a run of digits, a-z and everything beyond ASCII.
@@ -164,8 +164,10 @@ def report(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """Rows of ``docs`` in which no window of any item occurs."""
-    found = scan(docs, items, span).select(*KEY)
-    return docs.select("*", *_key()).join(found, KEY, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    own = unused(docs)
+    found = scan(docs, items, span).select(*(F.col(k).alias(own + k) for k in KEY))
+    marked = docs.select("*", *(c.alias(own + k) for c, k in zip(_key(), KEY)))
+    return marked.join(found, [own + k for k in KEY], "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = r"""

@@ -279,9 +279,8 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of ``docs`` that stay: one document of each group."""
-    gone = (components(docs, size, percent).filter("not kept and doc_id is not null")
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = components(docs, size, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = r"""

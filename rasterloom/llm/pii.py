@@ -10,7 +10,7 @@ previous match), which leaves the leftmost matches unchanged and the time linear
 
 Defined results: null texts have no spans and stay null when masked; empty texts have no
 spans; rows are judged one by one, so repeated rows get equal spans and no row is lost;
-other columns pass through.
+other columns pass through, except that ``name`` replaces one of that name.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, table, unused
 from .registry import query
 
 #: What the base kinds match, leftmost and without overlap.
@@ -47,7 +47,6 @@ BASE, ADDED = ["email", "ip", "card", "phone"], ["iban", "national_id", "local_p
 STEP, ACCEPT, REACH = 0.2, 0.6, 40
 
 _SPAN = "struct<kind:string,start:int,end:int,score:double>"
-_NONE = F.lit(None).cast(f"array<{_SPAN}>")
 
 
 def _luhn(digits: Column) -> Column:
@@ -142,17 +141,18 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFr
     t = F.col(f"`{text}`")
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
     kinds = [*BASE, *ADDED]
+    own = unused(docs)
+    hit, good, base = (lambda k: f"{own}hit_{k}"), (lambda k: f"{own}{k}"), f"{own}base"
     # Separate projections keep every pattern search from being repeated where it is used twice.
-    out = docs.withColumns({f"_hit_{k}": F.when(NEEDS.get(k, lambda c: c.rlike("[0-9]"))(t), _located(t, PATTERN[k]))
+    out = docs.withColumns({hit(k): F.when(NEEDS.get(k, lambda c: c.rlike("[0-9]"))(t), _located(t, PATTERN[k]))
                             for k in kinds})
-    out = out.withColumns({f"_{k}": F.coalesce(
-        F.when(F.size(f"_hit_{k}") > 0, _scored(k, t, F.col(f"_hit_{k}"))), empty) for k in kinds})
-    base = F.concat(*(F.col(f"_{k}") for k in BASE))
-    out = out.withColumn("_base", base)
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = [F.filter(f"_{k}", lambda x: (x["score"] >= ACCEPT) & apart(x)) for k in ADDED]
-    return (out.withColumn(name, F.concat("_base", *more))
-            .drop("_base", *(f"_hit_{k}" for k in kinds), *(f"_{k}" for k in kinds)))
+    out = out.withColumns({good(k): F.coalesce(
+        F.when(F.size(hit(k)) > 0, _scored(k, t, F.col(hit(k)))), empty) for k in kinds})
+    out = out.withColumn(base, F.concat(*(F.col(good(k)) for k in BASE)))
+    apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    more = [F.filter(good(k), lambda x: (x["score"] >= ACCEPT) & apart(x)) for k in ADDED]
+    return (out.withColumn(name, F.concat(base, *more))
+            .drop(base, *(hit(k) for k in kinds), *(good(k) for k in kinds)))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -174,8 +174,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` masked; columns stay as they are."""
-    names = docs.columns
-    return (with_spans(docs, text, "_pii").withColumn(text, masked(F.col(f"`{text}`"), F.col("_pii")))
+    names, spans = docs.columns, unused(docs) + "pii"
+    return (with_spans(docs, text, spans).withColumn(text, masked(F.col(f"`{text}`"), F.col(spans)))
             .select(*(F.col(f"`{c}`") for c in names)))
 
 

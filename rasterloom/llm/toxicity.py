@@ -15,6 +15,7 @@ Other columns of the input never matter.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,13 +56,18 @@ def words_of(text: str | None) -> set[str]:
 
 
 def twin(words: set[str], kinds: dict[str, list[str]] = IDENTITY_TERMS) -> set[str]:
-    """The words with every identity term swapped for the next of its kind that the text lacks."""
-    out = set(words)
+    """The words with every identity term swapped for another of its kind that the text lacks.
+
+    A hash of the words picks which, so that over many texts each term meets all the others.
+    """
+    out, pick = set(words), None
     for terms in kinds.values():
-        for i, term in enumerate(terms):
+        for term in terms:
             if term in words:
+                others = [t for t in terms if t not in words]
+                pick = zlib.crc32(" ".join(sorted(words)).encode()) if pick is None else pick + 1
                 out.discard(term)
-                out.add(next((t for t in terms[i + 1:] + terms[:i] if t not in words), term))
+                out.update(others[pick % len(others):][:1] if others else [term])
     return out
 
 
