@@ -165,18 +165,23 @@ def _possible(most, n, m, percent: int):
 
 
 def _unique_shingles(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
-    """rep, u: shingles of each crowded text that no other crowded text has."""
+    """rep, u: shingles of each crowded text that no other crowded text has.
+
+    Counted within each slice first: near copies share most shingles.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), size)
                 rep = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
+                shingle, at, c = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+                    [pa.array(rep[at], pa.int64()), pa.array(shingle.view(np.int64)), pa.array(c, pa.int64())],
+                    ["rep", "shingle", "c"])
 
     wanted = texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return (wanted.select("doc_id", "text").mapInArrow(run, "rep long, shingle long")
-            .groupBy("shingle").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("c"))
+    return (wanted.select("doc_id", "text").mapInArrow(run, "rep long, shingle long, c long")
+            .groupBy("shingle").agg(F.min("rep").alias("rep"), F.sum("c").alias("c"))
             .filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u")))
 
 
