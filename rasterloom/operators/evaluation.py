@@ -208,9 +208,9 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
             .join(b.select("row", "col", F.col("p").alias("b"), F.lit(True).alias("_b")),
                   ["row", "col"], "full"))
     whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    return both.select(
-        F.when(whole, F.col("row")).otherwise(
-            F.raise_error(F.lit("rasters differ in shape"))).alias("row"), "col", "a", "b")
+    # In a filter, so that it is read whatever columns the caller keeps.
+    return both.filter(F.when(whole, F.lit(True)).otherwise(
+        F.raise_error(F.lit("rasters differ in shape")).cast("boolean"))).select("row", "col", "a", "b")
 
 
 def raster_difference(pairs: DataFrame) -> DataFrame:

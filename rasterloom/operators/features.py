@@ -54,8 +54,8 @@ def pearson_pairs(df: DataFrame, bands: list[str], by: Sequence[str] = ()) -> Da
                  F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs])))
 
 
-def spearman_pairs(df: DataFrame, bands: list[str], sample: int | None = 300_000) -> DataFrame:
-    """Spearman rho per band pair; optionally on an exact-count sample, as asked."""
+def spearman_pairs(df: DataFrame, bands: list[str], sample: int | None = None) -> DataFrame:
+    """Spearman rho per band pair over all rows, or on an exact-count sample where one is asked for."""
     good = df.filter(all_valid(bands)).select("row", "col", *bands)
     if sample:
         good = sample_exact(good, sample)

@@ -9,13 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geo import GeoRef, utm_to_lonlat
 from ..functions.values import all_valid, is_invalid, normalize
 
-#: Canonical names of the 19 survey bands (fixed values).
-SURVEY_BANDS = [
-    "mag_anom", "rtp", "tmi_hg", "geod_2ndinv", "iso_grav_anom_slope", "tc", "geod_shearrate",
-    "geod_dilaterate", "tmi_vg", "deq_n100a15", "iso_grav_anom_vg", "det_elev", "iso_grav_anom",
-    "tmi", "depth_to_base_surf", "ieq_n100a15", "cond_surf", "iso_grav_anom_hg", "det_elev_slope",
-]
-
 VALIDATION_BLOCKS = (1, 7, 9, 10)   # fixed values
 
 
@@ -203,7 +196,9 @@ def impute_group_median(df: DataFrame, bands: list[str], group: str, mode: str =
            .groupBy(group).agg(*[F.max(F.when(F.col("feature") == b, F.col("value"))).alias(f"_m_{b}")
                                  for b in bands]))
     # No hint: the median table is broadcast if it measures small, else AQE splits a hot group.
-    joined = df.join(med, group, "left")
+    # A null group is a group, as in the percentiles.
+    med = med.withColumnRenamed(group, "_group")
+    joined = df.join(med, df[group].eqNullSafe(med["_group"]), "left").drop("_group")
     return joined.withColumns({
         b: F.when(is_invalid(F.col(b), mode), F.coalesce(f"_m_{b}", F.lit(0.0))).otherwise(F.col(b))
         for b in bands}).drop(*[f"_m_{b}" for b in bands])

@@ -73,14 +73,14 @@ def running_counts(df: DataFrame, order: Sequence[Column], counts: dict[str, str
 def prefix_bound(df: DataFrame, column: str, need: int) -> float | None:
     """A value such that at least ``need`` rows are not below it; None = keep all.
 
-    Counts in a fixed number of bins, so only that table reaches the driver.
+    Null values are below every other.  Counts in a fixed number of bins, so only that table reaches the driver.
     """
     lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
     if lo is None or hi <= lo:
         return None
     width = (hi - lo) / _BINS
     bin_no = F.floor((F.col(column).cast("double") - F.lit(lo)) / F.lit(width))
-    counts = dict(df.groupBy(bin_no.alias("b")).count().collect())  # at most _BINS + 1 rows
+    counts = dict(df.filter(F.col(column).isNotNull()).groupBy(bin_no.alias("b")).count().collect())  # at most _BINS + 1 rows
     total = 0
     for b in sorted(counts, reverse=True):
         total += counts[b]
@@ -94,6 +94,9 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], rank: str | None = Non
           lead: str | None = None) -> DataFrame:
     """First ``k`` rows in ``order``; ``rank`` names an optional position column.
 
+    Which rows come back is exact; the order in which they come is not part of the result,
+    whatever ``k`` is: ask for ``rank`` where it matters.
+
     Small ``k`` is Spark's own take-ordered.  Beyond that a global rank is cut, so
     k rows per partition never meet in one task; ``lead`` names the numeric column
     that ``order`` starts with (descending), which then drops the certain losers

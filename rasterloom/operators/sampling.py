@@ -84,7 +84,7 @@ def split_fraction(df: DataFrame, label: str, fraction: float = 0.2, key: Column
 
 
 def random_blocks(n_blocks: int = 16, fraction: float = 0.25, seed: int = 42) -> tuple[int, ...]:
-    """Hash-ordered draw of max(1, int(n * fraction)) validation blocks."""
+    """Seeded draw of max(1, int(n * fraction)) validation blocks."""
     import random
     return tuple(sorted(random.Random(seed).sample(range(n_blocks), max(1, int(n_blocks * fraction)))))
 

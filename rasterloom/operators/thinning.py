@@ -59,19 +59,23 @@ def _settle(tile: int, reach: int):
 
 
 def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool = True,
-         tile: int | None = None, max_rounds: int = 10_000) -> DataFrame:
+         tile: int | None = None, stored: bool = False) -> DataFrame:
     """Thin unique pixels (row, col, p); columns row, col, p and ``thin_rank``.
 
     With ``k`` only the first k picks stay.  A pick removes at most (4r+1)^2 - 1
     others, so the best k*(4r+1)^2 pixels always contain the first k picks: the
-    rest is filtered before any shuffle and the result is still exact.
+    rest is filtered before any shuffle and the result is still exact.  That takes
+    three passes over ``scored``, which is stored first unless it is ``stored`` already.
+    Pixels without a score are never picked and stand in nobody's way.
     """
     if radius < 0:
         raise ValueError("radius must not be negative")
     if k is not None and k <= 0:
         raise ValueError("k must be positive")
     pixels = scored.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
-                           F.col("p").cast("double").alias("p"))
+                           F.col("p").cast("double").alias("p")).filter("p is not null")
+    if k is not None and not stored:
+        pixels = checkpoint(pixels)
     if radius == 0:
         picks = pixels
     else:
@@ -84,7 +88,7 @@ def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool =
         settle = _settle(tile, reach)
         todo = pixels.withColumn("state", F.lit(0))
         found: list[DataFrame] = []
-        for _ in range(max_rounds):
+        while True:
             after = checkpoint(map_tiles(todo, settle, "row int, col int, p double, state int",
                                          tile, reach))
             fresh, open_ = after.filter("state = 1"), after.filter("state = 0")
@@ -96,8 +100,6 @@ def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool =
             edge = [(F.pmod(F.col(a), F.lit(tile)) < reach)
                     | (F.pmod(F.col(a), F.lit(tile)) >= tile - reach) for a in ("row", "col")]
             todo = open_.unionByName(fresh.filter(edge[0] | edge[1]))
-        else:
-            raise RuntimeError("thinning did not settle")
         picks = reduce(DataFrame.unionByName, found)
     if k is not None:
         return top_k(picks, k, best_first(), rank="thin_rank" if ranked else None, lead="p")

@@ -192,14 +192,21 @@ def overlap_tiles(axis: Column, size: int, core: int, step: int, halo: int) -> C
     return F.sequence(first, last)
 
 
+def within(axis: Column, size: int) -> Column:
+    """``axis`` itself; fails the job where it is outside [0, size)."""
+    return F.when((axis >= 0) & (axis < size), axis).otherwise(
+        F.raise_error(F.lit(f"pixel outside the raster's {size} cells")).cast("int"))
+
+
 def halo_tiling(df: DataFrame, height: int, width: int, core: int = 256, step: int = 224,
                 halo: int = 15) -> DataFrame:
     """Assign each pixel to every tile that reads it; ``in_core`` marks owned pixels.
 
-    ``step=core`` gives non-overlapping cores.
+    ``step=core`` gives non-overlapping cores.  Fails the job on a pixel outside the shape.
     """
-    out = (df.withColumn("tile_y", F.explode(overlap_tiles(F.col("row"), height, core, step, halo)))
-           .withColumn("tile_x", F.explode(overlap_tiles(F.col("col"), width, core, step, halo))))
+    row, col = within(F.col("row"), height), within(F.col("col"), width)
+    out = (df.withColumn("tile_y", F.explode(overlap_tiles(row, height, core, step, halo)))
+           .withColumn("tile_x", F.explode(overlap_tiles(col, width, core, step, halo))))
     inside = [(F.col(a) >= F.col(t) * step) & (F.col(a) < F.col(t) * step + core)
               for a, t in (("row", "tile_y"), ("col", "tile_x"))]
     return out.withColumn("in_core", inside[0] & inside[1])
@@ -209,7 +216,10 @@ def edge_padded(df: DataFrame, centres: DataFrame, radius: int, height: int, wid
     """Neighbour lookup with edge replication: outside cells read the nearest border cell.
 
     One row per centre and offset: c_row, c_col, dy, dx and the columns of ``df``.
+    Fails the job on a pixel or centre outside the shape.
     """
+    df = df.withColumns({"row": within(F.col("row"), height), "col": within(F.col("col"), width)})
+    centres = centres.select(within(F.col("row"), height).alias("row"), within(F.col("col"), width).alias("col"))
     span = F.array(*[F.lit(d) for d in range(-radius, radius + 1)])
     want = (centres.select(F.col("row").alias("c_row"), F.col("col").alias("c_col"))
             .withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.geo import GeoRef
 from ..operators.grid import with_lonlat
 from ..operators.thinning import thin
+from ..session import checkpoint
 
 
 def check_parameters(k: int, power: float, radius: int) -> None:
@@ -28,10 +29,11 @@ def create_candidates(scored: DataFrame, k: int, power: float, radius: int,
     """
     check_parameters(k, power, radius)
     kept = scored.filter(F.col(valid)) if valid else scored
-    positive = kept.filter(F.col("p") > 0).select("row", "col", "p")
+    # Stored once: the scores may come from a model, and four steps below read them.
+    positive = checkpoint(kept.filter(F.col("p") > 0).select("row", "col", "p"))
     if positive.isEmpty():
         raise ValueError("no positive score inside the mask")
-    return thin(positive, radius, k).select(
+    return thin(positive, radius, k, stored=True).select(
         F.col("thin_rank").alias("rank"), "row", "col", F.col("p").alias("raw_model_probability"),
         F.pow("p", F.lit(power)).alias("ranking_score"))
 

@@ -7,7 +7,7 @@ from ..operators import evaluation as E
 from ..operators.features import summary
 from ..operators.ordering import best_first, global_rank, top_k
 from . import query
-from .fixtures import grid, grid2, shape, six, sql, truth
+from .fixtures import grid, grid2, other, shape, six, sql, truth
 
 CUTS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
 NINE = CUTS[:9]
@@ -127,26 +127,25 @@ def density_grid(spark, sf):
     return six(E.density_grid(grid(spark, sf, size).filter("p >= 0.9"), size.height, size.width), "mean_p")
 
 
-_PAIRS = 'pairs AS (SELECT a."row", a.col, a.p AS a, b.p AS b FROM grid a JOIN grid2 b ON a."row" = b."row" AND a.col = b.col)'
+_PAIRS = 'pairs AS (SELECT a."row", a.col, a.p AS a, b.p AS b FROM grid a JOIN other b ON a."row" = b."row" AND a.col = b.col)'
 
 
 def pairs(spark, sf):
     size = shape(spark, sf)
-    return (grid2(spark, sf, size).select("row", "col", F.col("p").alias("b"))
-            .join(grid(spark, sf, size).select("row", "col", F.col("p").alias("a")), ["row", "col"]))
+    return E.aligned(grid(spark, sf, size), other(spark, sf, size))
 
 
 @query(sql('''SELECT count(*) AS n, round(avg(abs(a - b)), 6) AS mean_abs, round(max(abs(a - b)), 6) AS max_abs,
     round(corr(a, b), 6) AS pearson, round(quantile_cont(abs(a - b), 0.5), 6) AS median_abs,
     round(quantile_cont(abs(a - b), 0.95), 6) AS p95_abs, round(quantile_cont(abs(a - b), 0.99), 6) AS p99_abs FROM pairs''',
-           "grid", "grid2", _PAIRS))
+           "grid", "other", _PAIRS))
 def raster_difference(spark, sf):
     return six(E.raster_difference(pairs(spark, sf)), "mean_abs", "max_abs", "pearson", "median_abs", "p95_abs", "p99_abs")
 
 
 @query(sql('''SELECT t AS threshold, count(*) FILTER (a >= t AND b >= t) AS intersection, count(*) FILTER (a >= t OR b >= t) AS union_n,
     round(CASE WHEN count(*) FILTER (a >= t OR b >= t) > 0 THEN count(*) FILTER (a >= t AND b >= t) / (count(*) FILTER (a >= t OR b >= t))::DOUBLE
-      ELSE 1e0 END, 6) AS iou FROM pairs, cuts GROUP BY 1''', "grid", "grid2", _PAIRS, cut_values([0.1, 0.2, 0.5, 0.8, 0.9])))
+      ELSE 1e0 END, 6) AS iou FROM pairs, cuts GROUP BY 1''', "grid", "other", _PAIRS, cut_values([0.1, 0.2, 0.5, 0.8, 0.9])))
 def iou_thresholds(spark, sf):
     return six(E.iou_sweep(pairs(spark, sf), [0.1, 0.2, 0.5, 0.8, 0.9]), "iou")
 

@@ -48,7 +48,7 @@ _RANKS = "ranks AS (SELECT " + ", ".join(
 @query(sql(" UNION ALL ".join(f"SELECT 'b{i}' AS a, 'b{j}' AS b, round(corr(r{i}, r{j}), 6) AS r FROM ranks" for i, j in _IJ), "bands", _RANKS))
 def spearman_correlations(spark, sf):
     """All rows; the sampling form is covered by tests."""
-    return six(FE.spearman_pairs(bands(spark, sf), BANDS, sample=None), "r")
+    return six(FE.spearman_pairs(bands(spark, sf), BANDS), "r")
 
 
 @query(sql("SELECT cut, a, b, round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM pr, (VALUES (0.01e0), (0.02e0), (0.5e0)) c(cut) WHERE abs(r) >= cut",

@@ -18,6 +18,7 @@ from ..operators.grid import Shape, pixels_from_table, with_lonlat
 
 BANDS = ["b1", "b2", "b3", "b4", "b5"]
 GEO = SURVEY_GEO
+WIDTH = 100
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,10 +26,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def shape(spark: SparkSession, sf: str) -> Shape:
-    """Width 250 from 100,000 orders on, else 100; the count reads only file footers."""
+    """WIDTH columns and as many rows as the orders need; the count reads only file footers."""
     n = table(spark, sf, "orders").count()
-    width = 250 if n > 100_000 else 100
-    return Shape(n // width, width)
+    return Shape(-(-n // WIDTH), WIDTH)
 
 
 def grid(spark: SparkSession, sf: str, size: Shape | None = None) -> DataFrame:
@@ -64,6 +64,15 @@ def bands(spark: SparkSession, sf: str, size: Shape | None = None) -> DataFrame:
         valid=F.col("o_orderstatus") != "P", **{b: F.col(b) for b in BANDS})
 
 
+def other(spark: SparkSession, sf: str, size: Shape | None = None) -> DataFrame:
+    """A second score for every pixel of ``grid``: the customer's balance."""
+    size = size or shape(spark, sf)
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_acctbal"),
+                                        F.col("o_custkey") == F.col("c_custkey"), "left")
+    return pixels_from_table(o, "o_orderkey", size.width,
+                             p=F.coalesce(F.greatest(F.col("c_acctbal") / 10000.0, F.lit(0.0)), F.lit(0.0)))
+
+
 def grid2(spark: SparkSession, sf: str, size: Shape | None = None) -> DataFrame:
     size = size or shape(spark, sf)
     return pixels_from_table(
@@ -84,12 +93,12 @@ def six(df: DataFrame, *cols: str) -> DataFrame:
 # --- SQL text ------------------------------------------------------------------------
 
 CTE = {
-    "w": "w AS (SELECT CASE WHEN count(*) > 100000 THEN 250 ELSE 100 END AS width FROM orders)",
+    "w": f"w AS (SELECT {WIDTH} AS width)",
     "grid": '''grid AS (SELECT CAST(o_orderkey // width AS INTEGER) AS "row",
         CAST(o_orderkey % width AS INTEGER) AS col, o_totalprice / 500000e0 AS p,
         CAST(o_orderpriority LIKE '1%' AS INTEGER) AS g, o_orderstatus <> 'P' AS valid
         FROM orders, w)''',
-    "size": 'size AS (SELECT count(*) // max(width) AS h, CAST(max(width) AS BIGINT) AS wd FROM orders, w)',
+    "size": 'size AS (SELECT (count(*) + max(width) - 1) // max(width) AS h, CAST(max(width) AS BIGINT) AS wd FROM orders, w)',
     "bands": '''lines AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS b1,
         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (100e0 * count(*)) AS b2,
         CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (100e0 * count(*)) AS b3,
@@ -104,6 +113,9 @@ CTE = {
     "grid2": '''grid2 AS (SELECT CAST(event_id // width AS INTEGER) AS "row",
         CAST(event_id % width AS INTEGER) AS col, least(value / 500e0, 1e0) AS p,
         CAST(event_type = 'error' AS INTEGER) AS g FROM events, w)''',
+    "other": '''other AS (SELECT CAST(o_orderkey // width AS INTEGER) AS "row",
+        CAST(o_orderkey % width AS INTEGER) AS col, coalesce(greatest(c_acctbal / 10000e0, 0e0), 0e0) AS p
+        FROM orders CROSS JOIN w LEFT JOIN customer ON c_custkey = o_custkey)''',
     "truth": 'truth AS (SELECT "row", col FROM grid WHERE g > 0)',
     "xy": f'''xy AS (SELECT *, {GEO.left}e0 + (col + 0.5e0) * {GEO.res}e0 AS x,
         {GEO.top}e0 - ("row" + 0.5e0) * {GEO.res}e0 AS y FROM grid)''',
@@ -142,7 +154,7 @@ def values_offsets(offsets, name: str = "o") -> str:
 
 def sql(body: str, *parts: str, recursive: bool = False) -> str:
     """WITH clause from named or literal parts, dependencies included, then the body."""
-    needs = {"grid": ["w"], "size": ["w"], "bands": ["w"], "grid2": ["w"], "truth": ["grid"],
+    needs = {"grid": ["w"], "size": ["w"], "bands": ["w"], "grid2": ["w"], "other": ["w"], "truth": ["grid"],
              "xy": ["grid"], "points": ["xy"], "long": ["bands"]}
     seen: list[str] = []
 

@@ -1,4 +1,4 @@
-"""Parameter sweeps; grids are the reference grids scaled to the test rasters where they name a K."""
+"""Parameter sweeps; grids are full, and only K is scaled to the size of the test rasters."""
 
 from pyspark.sql import functions as F
 
@@ -49,18 +49,23 @@ def _cut_out(df):
     return six(df.select("power", "threshold", "tp", "fp", "n_truth", "selected", "dti"), "tp", "fp", "dti")
 
 
-POWERS = [1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0, 3.5, 4.0]
+POWERS = [1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 3.5, 4.0]
 
 
-@query(sql(f'''SELECT v AS power, round(tp, 6) AS tp, round(fp, 6) AS fp, {_DTI} FROM (SELECT e.v,
+def _power_sql(powers) -> str:
+    return sql(f'''SELECT v AS power, round(tp, 6) AS tp, round(fp, 6) AS fp, {_DTI} FROM (SELECT e.v,
     (SELECT sum(best) FROM (SELECT t, max(pow(p, e.v) * k) AS best FROM near GROUP BY 1)) AS tp,
-    (SELECT sum(pow(p, e.v) * (1 - infl)) FROM infl) AS fp FROM e)''', "truth", OFFSETS, _NEAR, _INFL, _vals("e", POWERS)))
+    (SELECT sum(pow(p, e.v) * (1 - infl)) FROM infl) AS fp FROM e)''', "truth", OFFSETS, _NEAR, _INFL, _vals("e", powers))
+
+
+@query(_power_sql(POWERS))
 def sweep_power(spark, sf):
     out = _run(spark, sf, Q.power_sweep, POWERS)
     return six(out.select("power", "tp", "fp", "dti"), "tp", "fp", "dti")
 
 
-PRE_P, PRE_T = steps(1.5, 2.5, 0.05), [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65]
+PRE_P, PRE_T = steps(1.5, 2.5, 0.05), [
+    0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.06, 0.075, 0.1, 0.125, 0.15]
 
 
 @query(_cut_sql(PRE_P, PRE_T, "p >= c.v"))
@@ -76,7 +81,8 @@ def sweep_power_threshold_local(spark, sf):
     return _cut_out(_run(spark, sf, Q.threshold_power_sweep, LOCAL_P, LOCAL_T, when="before"))
 
 
-POST_P, POST_T = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0], [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
+POST_P = [0.5, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.75, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0]
+POST_T = steps(0.0, 0.9, 0.05)
 
 
 @query(_cut_sql(POST_P, POST_T, "pow(p, e.v) >= c.v"))
@@ -101,7 +107,15 @@ def sweep_power_threshold_canonical(spark, sf):
     return _cut_out(_run(spark, sf, Q.threshold_power_sweep, CANON_P, CANON_T))
 
 
-QUICK_P, QUICK_T = [1.0, 1.5, 2.0, 3.0], [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
+LIST_P = [0.75, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 1.75, 2.0, 2.5, 3.0]
+
+
+@query(_power_sql(LIST_P))
+def sweep_power_list(spark, sf):
+    return six(_run(spark, sf, Q.power_sweep, LIST_P).select("power", "tp", "fp", "dti"), "tp", "fp", "dti")
+
+
+QUICK_P, QUICK_T = [1.0, 1.2, 1.5, 2.0], steps(0.05, 0.4, 0.05)
 
 
 @query(_cut_sql(QUICK_P, QUICK_T, "pow(p, e.v) >= c.v"))
@@ -160,15 +174,15 @@ def sweep_k_power(spark, sf):
     return _rank_out(_run(spark, sf, Q.top_k_sweep, K13, P27))
 
 
-K21, P6 = list(range(350, 560, 10)), steps(0.05, 0.3, 0.05)
+K21, P26 = list(range(350, 560, 10)), steps(0.05, 0.3, 0.01)
 
 
-@query(_topk_sql(K21, P6))
+@query(_topk_sql(K21, P26))
 def sweep_k_power_fine(spark, sf):
-    return _rank_out(_run(spark, sf, Q.top_k_sweep, K21, P6))
+    return _rank_out(_run(spark, sf, Q.top_k_sweep, K21, P26))
 
 
-K49, P10 = list(range(400, 523, 3)), steps(0.005, 0.05, 0.005)
+K49, P10 = list(range(800, 1041, 5)), steps(0.005, 0.05, 0.005)
 
 
 @query(_topk_sql(K49, P10))
@@ -184,12 +198,12 @@ def sweep_k_fine(spark, sf):
     return _rank_out(_run(spark, sf, Q.top_k_sweep, K121, [0.005]))
 
 
-K17, P8 = list(range(200, 1001, 50)), [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
+K17, P20L = list(range(200, 1001, 50)), steps(0.005, 0.1, 0.005)
 
 
-@query(_topk_sql(K17, P8))
+@query(_topk_sql(K17, P20L))
 def sweep_k_power_other_model(spark, sf):
-    return _rank_out(_run(spark, sf, Q.top_k_sweep, K17, P8))
+    return _rank_out(_run(spark, sf, Q.top_k_sweep, K17, P20L))
 
 
 RADII = [0, 1, 2, 3, 5, 7, 10, 15, 20, 30]
@@ -233,7 +247,8 @@ def sweep_radius_k(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K10, [0.001], [0, 1, 2, 3]), "thin_radius")
 
 
-K8, P8B = [700, 750, 800, 850, 900, 950, 1000, 1050], [5e-5, 1e-4, 2e-4, 5e-4, 0.001, 0.002, 0.005, 0.01]
+K8 = [800, 850, 900, 910, 950, 1000, 1050, 1100]
+P8B = [5e-4, 0.001, 0.0015, 0.002, 0.003, 0.005, 0.007, 0.01]
 
 
 @query(_radii_sql(K8, P8B, [1, 2]))
@@ -241,7 +256,8 @@ def sweep_k_power_radius(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K8, P8B, [1, 2]), "thin_radius")
 
 
-K10B, P15 = list(range(800, 1000, 20)), [5e-5 * i for i in range(1, 16)]
+K10B = list(range(820, 911, 10))
+P15 = steps(5e-5, 5e-4, 5e-5) + steps(6e-4, 1e-3, 1e-4)
 
 
 @query(_thin_sql(K10B, P15, 1))
@@ -257,12 +273,12 @@ def sweep_k_locked_power(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, K17B, [5e-5], [1]), "thin_radius")
 
 
-K11, P4 = list(range(800, 911, 10)), [1e-5, 5e-5, 1e-4, 5e-4]
+K11, P4 = [800, 820, 830, 835, 840, 845, 850, 855, 860, 880, 900], [5e-5, 1e-4, 5e-4, 1e-3]
 
 
-@query(_radii_sql(K11, P4, [1, 2]))
+@query(_radii_sql(K11, P4, [0, 1]))
 def sweep_radius_power_k(spark, sf):
-    return _rank_out(_run(spark, sf, Q.thinned_sweep, K11, P4, [1, 2]), "thin_radius")
+    return _rank_out(_run(spark, sf, Q.thinned_sweep, K11, P4, [0, 1]), "thin_radius")
 
 
 P9 = [1e-6, 5e-6, 1e-5, 2e-5, 5e-5, 1e-4, 2e-4, 5e-4, 1e-3]
@@ -273,9 +289,14 @@ def sweep_power_only(spark, sf):
     return _rank_out(_run(spark, sf, Q.thinned_sweep, [815], P9, [1]), "thin_radius")
 
 
-@query(_thin_sql([815], [5e-5], 2))
+@query(_radii_sql([815], [5e-5], [0, 1, 2, 3]))
+def sweep_radius_only(spark, sf):
+    return _rank_out(_run(spark, sf, Q.thinned_sweep, [815], [5e-5], [0, 1, 2, 3]), "thin_radius")
+
+
+@query(_thin_sql([815], [5e-5], 1))
 def sweep_fixed_setting(spark, sf):
-    return _rank_out(_run(spark, sf, Q.fixed_setting, 815, 5e-5, 2), "thin_radius")
+    return _rank_out(_run(spark, sf, Q.fixed_setting, 815, 5e-5, 1), "thin_radius")
 
 
 @query(f'''SELECT * FROM ({_topk_sql(K13, [0.2, 0.5, 1.0])}) ORDER BY dti DESC, power, k LIMIT 1''')

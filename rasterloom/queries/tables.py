@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions.geo import SURVEY_GEO
 from ..operators import grid as G
 from ..operators.ordering import best_first, top_k
-from ..operators.evaluation import map_counts  # noqa: F401
 from ..plans.candidates import candidate_table
 from ..functions.values import error_class
 from ..sources import tables as S

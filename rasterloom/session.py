@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +46,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
+            # local-cluster[...] has executors of its own: one machine only is local or local[...].
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise RuntimeError(
                     "set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
