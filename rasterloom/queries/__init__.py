@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import (cleaning, evaluation, features, focal, geo, joins, metrics,  # noqa: F401
+    from . import (cleaning, evaluation, features, focal, geo, jobs, joins, metrics,  # noqa: F401
                    models, sampling, sweeps, tables, thinning)
