@@ -120,11 +120,11 @@ _EDGE = "list_transform(range(20), lambda i: CAST(floor(i * ({n} / 20e0)) AS BIG
 @query(sql(f'''SELECT CAST(gy AS INTEGER) AS grid_row, CAST(gx AS INTEGER) AS grid_col, count(p) AS n, round(coalesce(avg(p), 0), 6) AS mean_p,
     coalesce(max(p), 0e0) AS max_p FROM (SELECT unnest(range(20)) AS gy) CROSS JOIN (SELECT unnest(range(20)) AS gx)
     LEFT JOIN (SELECT p, len(list_filter({_EDGE.format(n="h")}, lambda e: e <= "row")) - 1 AS cy,
-      len(list_filter({_EDGE.format(n="wd")}, lambda e: e <= col)) - 1 AS cx FROM grid, size WHERE p >= 0.9e0)
+      len(list_filter({_EDGE.format(n="wd")}, lambda e: e <= col)) - 1 AS cx FROM grid, size)
     ON cy = gy AND cx = gx GROUP BY 1, 2''', "grid", "size"))
 def density_grid(spark, sf):
     size = shape(spark, sf)
-    return six(E.density_grid(grid(spark, sf, size).filter("p >= 0.9"), size.height, size.width), "mean_p")
+    return six(E.density_grid(grid(spark, sf, size), size.height, size.width), "mean_p")
 
 
 _PAIRS = 'pairs AS (SELECT a."row", a.col, a.p AS a, b.p AS b FROM grid a JOIN other b ON a."row" = b."row" AND a.col = b.col)'

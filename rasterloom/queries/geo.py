@@ -26,9 +26,9 @@ def lonlat_coordinates(spark, sf):
 
 
 @query(sql('SELECT round(min(longitude), 6) AS min_lon, round(max(longitude), 6) AS max_lon, round(min(latitude), 6) AS min_lat, '
-           'round(max(latitude), 6) AS max_lat FROM points WHERE p >= 0.9e0', "points"))
+           'round(max(latitude), 6) AS max_lat FROM points', "points"))
 def geographic_extent(spark, sf):
-    return points(spark, sf).filter("p >= 0.9").agg(*[
+    return points(spark, sf).agg(*[
         F.round(f(c), 6).alias(n) for n, f, c in (("min_lon", F.min, "longitude"), ("max_lon", F.max, "longitude"),
                                                   ("min_lat", F.min, "latitude"), ("max_lat", F.max, "latitude"))])
 

@@ -9,7 +9,8 @@ from ..plans.candidates import candidate_table
 from ..functions.values import error_class
 from ..sources import tables as S
 from . import query
-from .fixtures import (GEO, bands, grid, grid2, shape, sql, six, sql_lonlat)
+from .fixtures import GEO, bands, grid, grid2, shape, six, sql, sql_lonlat
+from .thinning import thin_cte
 
 
 @query(sql('SELECT "row", col, p, g FROM grid', "grid"))
@@ -66,44 +67,47 @@ def label_value_counts(spark, sf):
     return grid(spark, sf).groupBy(F.col("g").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Thinning radius 0 keeps the oracle a plain top-k; the thinned table has its own query.
-_CANDIDATES = ("grid", "xy", '''ranked AS (SELECT *, row_number() OVER (ORDER BY p DESC, "row" DESC, col DESC)
-    AS rank FROM xy WHERE p > 0 AND valid)''', "cut AS (SELECT * FROM ranked WHERE rank <= 500)",
-               sql_lonlat("cut", "cand"))
+_RANKED = ("grid", '''ranked AS (SELECT *, row_number() OVER (ORDER BY p DESC, "row" DESC, col DESC)
+    AS rank FROM grid WHERE p > 0 AND valid)''')
+# Every candidate of the thinned map.
+_CANDIDATES = ("grid", "size", "inside AS (SELECT * FROM grid WHERE valid AND p > 0)", *thin_cte("inside", 1),
+               f'''cut AS (SELECT thin_rank AS rank, "row", col, p, {GEO.left}e0 + (col + 0.5e0) * {GEO.res}e0 AS x,
+                 {GEO.top}e0 - ("row" + 0.5e0) * {GEO.res}e0 AS y FROM picks)''', sql_lonlat("cut", "cand"))
 
 
 def _candidates(spark, sf):
-    return candidate_table(grid(spark, sf), 500, 0.001, 0, GEO, valid="valid")
+    size = shape(spark, sf)
+    return candidate_table(grid(spark, sf, size), size.height * size.width, 0.001, 1, GEO, valid="valid")
 
 
 @query(sql('''SELECT rank, "row", col AS "column", p AS raw_model_probability,
     round(pow(p, 0.001e0), 6) AS ranking_score, x, y, round(longitude, 6) AS longitude,
-    round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES))
+    round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES, recursive=True))
 def candidate_table_top(spark, sf):
     return six(_candidates(spark, sf), "ranking_score", "longitude", "latitude")
 
 
 @query(sql('''SELECT rank, "row", col AS "column", printf('%.9f', p) AS raw_model_probability,
     printf('%.9f', pow(p, 0.001e0)) AS ranking_score, printf('%.3f', x) AS x, printf('%.3f', y) AS y,
-    printf('%.8f', longitude) AS longitude, printf('%.8f', latitude) AS latitude FROM cand''', *_CANDIDATES))
+    printf('%.8f', longitude) AS longitude, printf('%.8f', latitude) AS latitude FROM cand''', *_CANDIDATES, recursive=True))
 def candidate_export(spark, sf):
     return S.candidate_export(_candidates(spark, sf))
 
 
 @query(sql('''SELECT rank, "row", col AS "column", printf('%.8f', latitude) AS latitude,
-    printf('%.8f', longitude) AS longitude, printf('%.8f', p) AS prediction FROM cand''', *_CANDIDATES))
+    printf('%.8f', longitude) AS longitude, printf('%.8f', p) AS prediction FROM cand''', *_CANDIDATES, recursive=True))
 def candidate_reduced_export(spark, sf):
     return S.reduced_export(_candidates(spark, sf))
 
 
 @query(sql('''SELECT rank, "row", col AS "column", round(pow(p, 0.001e0), 6) AS score, x, y,
-    round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES))
+    round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES, recursive=True))
 def candidate_product_export(spark, sf):
     return six(S.product_export(_candidates(spark, sf)), "score", "longitude", "latitude")
 
 
 @query(sql('''SELECT rank, "row", col AS "column", round(pow(p, 0.001e0), 6) AS score, x, y,
-    round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES))
+    round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES, recursive=True))
 def candidate_geojson_roundtrip(spark, sf):
     """Features written as GeoJSON text and read back through the fixed schema."""
     text = S.to_features(_candidates(spark, sf))
@@ -114,30 +118,44 @@ def candidate_geojson_roundtrip(spark, sf):
 
 @query(sql('''SELECT g."row", g.col, coalesce(c.p, 0e0) AS p FROM grid g
     LEFT JOIN (SELECT * FROM ranked WHERE rank <= 500) c ON c."row" = g."row" AND c.col = g.col''',
-           *_CANDIDATES[:3]))
+           *_RANKED))
 def grid_write_back(spark, sf):
     g = grid(spark, sf)
     return G.fill_grid(g, top_k(g.filter("valid and p > 0"), 500, best_first()))
 
 
+@query(sql('''SELECT "row", col, p FROM grid WHERE p >= 0.8e0 AND g > 0''', "grid"))
+def true_positive_points(spark, sf):
+    return _points_of(spark, sf, 1)
+
+
+@query(sql('''SELECT "row", col, p FROM grid WHERE p < 0.8e0 AND g > 0''', "grid"))
+def false_negative_points(spark, sf):
+    return _points_of(spark, sf, 3)
+
+
 @query(sql('''SELECT "row", col, p FROM grid WHERE p >= 0.8e0 AND g = 0''', "grid"))
 def false_positive_points(spark, sf):
-    g = grid(spark, sf)
-    flagged = g.withColumn("error", error_class(F.col("p") >= 0.8, F.col("g") > 0, F.lit(True)))
-    return S.error_points(flagged, 2, "p")
+    return _points_of(spark, sf, 2)
+
 
+def _points_of(spark, sf, error: int):
+    flagged = grid(spark, sf).withColumn("error", error_class(F.col("p") >= 0.8, F.col("g") > 0, F.lit(True)))
+    return S.error_points(flagged, error, "p")
 
-@query(sql('''SELECT rank, "row", col AS "column", p AS raw_model_probability FROM ranked
-    WHERE rank <= 100''', *_CANDIDATES[:3]))
+
+@query(sql('''SELECT rank, "row", col AS "column", p AS raw_model_probability FROM cand
+    WHERE rank <= 100''', *_CANDIDATES, recursive=True))
 def candidate_head(spark, sf):
     return (_candidates(spark, sf).orderBy("rank").limit(100)
             .select("rank", "row", "column", "raw_model_probability"))
 
 
-@query(sql('''SELECT 'forest' AS model, 5 AS bands, 500 AS k, 0.001e0 AS power, 0 AS radius,
-    count(*) AS selected FROM ranked WHERE rank <= 500''', *_CANDIDATES[:3]))
+@query(sql('''SELECT 'forest' AS model, 5 AS bands, max(h * wd) AS k, 0.001e0 AS power, 1 AS radius,
+    count(*) AS selected FROM picks, size''', *_CANDIDATES, recursive=True))
 def run_record(spark, sf):
-    return S.run_record(_candidates(spark, sf), model="forest", bands=5, k=500, power=0.001, radius=0)
+    size = shape(spark, sf)
+    return S.run_record(_candidates(spark, sf), model="forest", bands=5, k=size.height * size.width, power=0.001, radius=1)
 
 
 @query(sql(f'''SELECT corner, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM c''',
