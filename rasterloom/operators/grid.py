@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import GeoRef, utm_to_lonlat
 from ..functions.values import all_valid, is_invalid, normalize
+from ..session import checkpoint
 
 VALIDATION_BLOCKS = (1, 7, 9, 10)   # fixed values
 
@@ -190,14 +191,13 @@ def normalize_bands(df: DataFrame, bands: list[str], stats: DataFrame | dict[str
 
 def impute_group_median(df: DataFrame, bands: list[str], group: str, mode: str = "huge") -> DataFrame:
     """Replace invalid values by the group's own median, 0 if the group has none."""
-    from .ordering import percentiles
+    from .ordering import few, percentiles
     long = stack_bands(df, bands, group).filter(~is_invalid(F.col("value"), mode))
     med = (percentiles(long, "value", [0.5], ["feature", group])
            .groupBy(group).agg(*[F.max(F.when(F.col("feature") == b, F.col("value"))).alias(f"_m_{b}")
                                  for b in bands]))
-    # No hint: the median table is broadcast if it measures small, else AQE splits a hot group.
     # A null group is a group, as in the percentiles.
-    med = med.withColumnRenamed(group, "_group")
+    med = few(checkpoint(med.withColumnRenamed(group, "_group")))
     joined = df.join(med, df[group].eqNullSafe(med["_group"]), "left").drop("_group")
     return joined.withColumns({
         b: F.when(is_invalid(F.col(b), mode), F.coalesce(f"_m_{b}", F.lit(0.0))).otherwise(F.col(b))

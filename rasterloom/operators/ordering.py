@@ -8,14 +8,19 @@ one small offset per partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import checkpoint
 
 _TAKE = 5_000    # largest k for take-ordered, where one task merges k rows of every partition
 _BINS = 4096
+_GROUPS = 100_000   # groups up to which a table with one row per group is broadcast
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition position here
 
 
@@ -56,18 +61,35 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
 
 
 def running_counts(df: DataFrame, order: Sequence[Column], counts: dict[str, str]) -> DataFrame:
-    """Append inclusive running totals of integer columns in ``order``.
+    """Append inclusive running totals of integer columns in ``order``; nulls count 0.
 
-    ``counts`` maps the new column to the column it accumulates.
+    ``counts`` maps the new column to the column it accumulates.  The totals inside a range
+    partition are taken as it is sorted, so the range shuffle is the only one.
     """
-    placed = _ranged(df, order)
-    offs = _offsets(placed, {f"_o_{n}": F.sum(c) for n, c in counts.items()})
-    inside = (Window.partitionBy("_pid").orderBy("_pos")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = {f"_c_{new}": col for new, col in counts.items()}
+    schema = StructType([*df.schema.fields, StructField("_pid", IntegerType()),
+                         *(StructField(n, LongType()) for n in spans)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), dict.fromkeys(spans, 0)
+        for batch in batches:
+            sums = {}
+            for name, col in spans.items():
+                values = batch.column(batch.schema.get_field_index(col)).cast(pa.int64())
+                sums[name] = total[name] + np.cumsum(values.fill_null(0).to_numpy(zero_copy_only=False))
+                if len(values):
+                    total[name] = int(sums[name][-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)),
+                 *(pa.array(sums[n], pa.int64()) for n in spans)], schema.names)
+
+    # The partition's number belongs to this very layout: stored before anything joins on it.
+    placed = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
+    offs = _offsets(placed, {f"_o_{new}": F.max(f"_c_{new}") for new in counts})
+    # One row per shuffle partition: the broadcast cannot grow with the data.
     out = placed.join(F.broadcast(offs), "_pid")
-    for new, col in counts.items():
-        out = out.withColumn(new, F.sum(col).over(inside) + F.col(f"_o_{new}"))
-    return out.drop("_pid", "_pos", *[f"_o_{n}" for n in counts])
+    return out.withColumns({new: F.col(f"_c_{new}") + F.col(f"_o_{new}") for new in counts}).drop(
+        "_pid", *spans, *(f"_o_{new}" for new in counts))
 
 
 def prefix_bound(df: DataFrame, column: str, need: int) -> float | None:
@@ -119,6 +141,15 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], rank: str | None = Non
     return ranked if rank else ranked.drop("_rank")
 
 
+def few(groups: DataFrame) -> DataFrame:
+    """``groups`` (one row per group, cheap to count), to be broadcast if they are few enough.
+
+    The other side then stays where it is; with more groups than that no single one is
+    left to decide the join, and AQE splits those that are hot.
+    """
+    return F.broadcast(groups) if groups.count() <= _GROUPS else groups
+
+
 def percentiles(df: DataFrame, value: str, qs: Sequence[float],
                 by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation percentiles: one row per group and q.
@@ -132,14 +163,13 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float],
               .agg(F.count(F.lit(1)).alias("_n")))
     cum = running_counts(counts, [*[F.col(b).asc() for b in by], F.col("_v").asc()],
                          {"_cum": "_n"})
-    # Group boundaries: one row per group, taken from the same stored counts.  No hint:
-    # Spark broadcasts them by measured size, else AQE splits a hot group.
+    # Group boundaries: one row per group, taken from the same stored counts.
     bounds = cum.groupBy(*by).agg(F.max("_cum").alias("_last"), F.sum("_n").alias("_size"))
     if by:
         # Null-safe so that a NULL group keeps its percentiles.
         keyed = bounds.withColumnsRenamed({b: f"_b_{b}" for b in by})
         same = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
-        joined = cum.join(keyed, same).select(*by, "_v", "_n", "_cum", "_last", "_size")
+        joined = cum.join(few(keyed), same).select(*by, "_v", "_n", "_cum", "_last", "_size")
     else:
         one = bounds.select(F.struct("_last", "_size")).scalar()
         joined = cum.select("_v", "_n", "_cum", one["_last"].alias("_last"),
@@ -174,6 +204,6 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
                          {"_cum": "ties"})
     if by:
         bounds = cum.groupBy(*by).agg((F.max("_cum") - F.sum("ties")).alias("_start"))
-        cum = cum.join(bounds, by).withColumn("_cum", F.col("_cum") - F.col("_start"))
+        cum = cum.join(few(bounds), by).withColumn("_cum", F.col("_cum") - F.col("_start"))
     rank = F.col("_cum") - F.col("ties") + (F.col("ties") + 1) / 2
     return cum.select(*by, value, "ties", rank.alias(name))
