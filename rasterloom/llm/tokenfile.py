@@ -15,9 +15,9 @@ columns of the input never matter.
 from __future__ import annotations
 
 import re
+import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -56,77 +56,62 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
 #: A Latin word, then punctuation that starts no contraction: two units of the byte-level rules.
 _WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+_PART = re.compile(r"[ A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*[!-&(-/:-@\[-`{-~]*")
 #: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others count up from 256.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLED = {b: b for b in _SELF} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+_GAP = chr(_SPELLED[32])
 
 
-class Encoder:
-    """Ids of texts, remembering the ids of recent pieces."""
+class Encoder(dict):
+    """Little-endian ids of text pieces, remembering those of recent ones."""
 
     def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.most = most
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t for t in added if _PART.fullmatch(t)]     # those that may hide in a plain word
         self.older: dict[str, bytes] = {}       # what was known before; what is met again moves over
 
     def pieces(self, text: str) -> list[str]:
         """Parts that encode independently and join to ``text``."""
-        if _DOUBLE.search(text):
+        if "\0" in text or _DOUBLE.search(text):
             parts = _CUT.split(text)
             return [parts[0], *(" " + p for p in parts[1:])]
         # Without two white spaces in a row a line break is a piece of its own, and a space
         # belongs to what follows; only the ends of the text can be left with a space alone.
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            parts = line.split(" ")
-            if parts[0]:
-                out.append(parts[0])
-            out += [" " + p for p in parts[1:]]
-        return out
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids per text, the end id included."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = set(chain.from_iterable(split)).difference(known)
-        met = [p for p in fresh if p in older]
-        known.update((p, older[p]) for p in met)
-        fresh.difference_update(met)
-        self._learn(fresh)
-        self._learn_whole([p for p in fresh if p not in known])
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([*map(known.__getitem__, parts), end]) for parts in split]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode plain words by the tokenizer's model, unit by unit, without its text bookkeeping."""
-        known, tokenize = self.known, self.tokenizer.model.tokenize
-        for piece in pieces:
+        """Ids per text, the end id included."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        end, of = _packed([END_ID]), self.__getitem__
+        return [b"".join([*map(of, self.pieces(t)), end]) if t else end for t in texts]
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
             match = _WORD.fullmatch(piece)
-            if match is None or any(t in piece for t in self.special):
-                continue
-            raw = b""
-            for unit in match.groups():
-                if not unit:
-                    continue
-                ids = known.get(unit)
-                if ids is None:
-                    spelled = unit.encode().decode("latin-1").translate(_SPELLED)
-                    ids = known[unit] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
-                raw += ids
-            known[piece] = raw
-
-    def _learn_whole(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at:at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            if match is None or self.special and any(t in piece for t in self.special):
+                found = _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            elif match[2] and match[1]:
+                found = self[match[1]] + self[match[2]]
+            else:
+                # A plain word goes to the tokenizer's model, without its text bookkeeping.
+                spelled = (piece.replace(" ", _GAP) if piece.isascii()
+                           else piece.encode().decode("latin-1").translate(_SPELLED))
+                found = _packed([t.id for t in self.model.tokenize(spelled)])
+        self[piece] = found
+        return found
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
 
 _LOADED: dict[str, Encoder] = {}
