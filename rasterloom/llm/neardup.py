@@ -41,6 +41,7 @@ from .registry import query
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 HUBS, MORE = 8, 16          # hubs of a bucket in the second round, and their growth per round
+PER_TASK = 400_000          # shingles of crowded texts that one task counts
 CROWD = 32                  # classes in a bucket from which the bounds pay
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -167,11 +168,12 @@ def _possible(most, n, m, percent: int):
 def _unique_shingles(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
     """rep, u: shingles of each crowded text that no other crowded text has.
 
-    Counted within each slice first: near copies share most shingles.
+    Near copies share most shingles, so they are counted within large slices first, and the
+    texts are read in as few tasks as hold PER_TASK shingles each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 16_000_000):
                 sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), size)
                 rep = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
                 shingle, at, c = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
@@ -180,7 +182,8 @@ def _unique_shingles(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame
                     ["rep", "shingle", "c"])
 
     wanted = texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return (wanted.select("doc_id", "text").mapInArrow(run, "rep long, shingle long, c long")
+    tasks = 1 + (crowd.agg(F.sum("n")).first()[0] or 0) // PER_TASK
+    return (wanted.select("doc_id", "text").coalesce(tasks).mapInArrow(run, "rep long, shingle long, c long")
             .groupBy("shingle").agg(F.min("rep").alias("rep"), F.sum("c").alias("c"))
             .filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u")))
 
