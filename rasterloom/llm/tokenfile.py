@@ -34,7 +34,8 @@ from .registry import query
 END_ID = 2
 ROW_GROUP = 16 << 20        # bytes of a row group
 PAGE = 256 << 10            # bytes of a page: the least that a selective read touches
-CACHE = 150_000             # pieces whose ids a worker remembers, twice over
+SLICE = 6_000_000          # bytes of text encoded at a time
+CACHE = 300_000             # pieces whose ids a worker remembers, twice over
 
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -53,7 +54,9 @@ SCHEMA = T.StructType([
 #: A space between two characters that no tokenizer rule takes for white space.  The byte-level
 #: rules always begin a new piece there, so the text on both sides can be encoded apart.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
+#: Two white spaces in a row.  Without them a line break is a piece of its own, and a space belongs to
+#: what follows; only the ends of a text can be left with a space alone.
+_DOUBLE_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: A Latin word, then punctuation that starts no contraction: two units of the byte-level rules.
 _WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 _PART = re.compile(r"[ A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*[!-&(-/:-@\[-`{-~]*")
@@ -78,20 +81,36 @@ class Encoder(dict):
 
     def pieces(self, text: str) -> list[str]:
         """Parts that encode independently and join to ``text``."""
-        if "\0" in text or _DOUBLE.search(text):
-            parts = _CUT.split(text)
-            return [parts[0], *(" " + p for p in parts[1:])]
-        # Without two white spaces in a row a line break is a piece of its own, and a space
-        # belongs to what follows; only the ends of the text can be left with a space alone.
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids per text, the end id included."""
+        parts = _CUT.split(text)
+        return [parts[0], *(" " + p for p in parts[1:])]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, the end ids included, and the number of ids per text; null texts are empty.
+
+        Arrow splits the texts and finds the distinct pieces; each of these is looked up once.
+        """
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        end, of = _packed([END_ID]), self.__getitem__
-        return [b"".join([*map(of, self.pieces(t)), end]) if t else end for t in texts]
+        texts = texts.fill_null("")
+        odd = pc.or_(pc.match_substring(texts, "\0"), pc.match_substring_regex(texts, _DOUBLE_RE2))
+        plain = pc.if_else(odd, "", texts)
+        for old, new in (("\n", "\0\n\0"), (" ", "\0 ")):
+            plain = pc.replace_substring(plain, old, new)
+        pieces = pc.split_pattern(plain, "\0")
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        found = [self[p] for p in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        ids = np.frombuffer(b"".join(map(found.__getitem__, which.tolist())), "<i4")
+        stops = np.append(0, np.cumsum(counts))[np.cumsum(pc.list_value_length(pieces).to_numpy())]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))[::-1].tolist():
+            extra = np.frombuffer(b"".join(map(self.__getitem__, self.pieces(texts[i].as_py()))), "<i4")
+            ids = np.insert(ids, stops[i], extra)
+            stops[i:] += len(extra)
+        ids = np.insert(ids, stops, END_ID).astype(np.int32, copy=False)
+        return ids, np.diff(np.append(0, stops)) + 1
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
@@ -139,13 +158,10 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
         part, start = TaskContext.get().partitionId(), 0
         of = encoder(tokenizer)
         for batch in batches:
-            for low, high in slices(batch.column(1)):
-                raw = of.encode(batch.column(1).slice(low, high - low).to_pylist())
-                n = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
+            for low, high in slices(batch.column(1), SLICE):
+                flat, n = of.encode(batch.column(1).slice(low, high - low))
                 stops = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], stops)).astype(np.int32)),
-                    pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(raw))]))
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(np.full(len(n), part, np.int32)),
                      pa.array(start + stops - n), pa.array(n), ids], SCHEMA.names)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -37,7 +38,10 @@ def byte_bpe():
                                      max_size=9).map("".join)))
 def test_pieces_encode_like_the_library(byte_bpe, text):
     ours, library = byte_bpe
-    assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+    texts = ["a b", text, None, text + " x\ny", ""]
+    ids, n = ours.encode(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
 
 
 def expected_tokens(library, rows):
