@@ -13,7 +13,8 @@ from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SOME = ["pixel_scan", "candidate_export", "normalized_bands", "percentile_stretch", "stencil_neighbours",
-        "dti_canonical", "dti_per_block", "patch_scores", "loss_terms", "spatial_thinning", "connected_components",
+        "dti_canonical", "dti_per_block", "patch_scores", "loss_terms", "spatial_thinning", "connected_components", "final_pipeline", "group_median_imputed", "iou_thresholds",
+        "sweep_power_list", "sweep_radius_only", "run_record",
         "density_clusters", "threshold_sweep", "roc_auc_and_ap", "k_curve", "raster_difference", "effect_sizes",
         "square_dilation", "tile_scoring", "radius_search", "balanced", "sweep_power_threshold_after", "sweep_thinned_k"]
 
