@@ -40,9 +40,9 @@ from .registry import query
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-HUBS, MORE = 8, 16          # hubs of a bucket in the second round, and their growth per round
+HUBS, MORE = 64, 16         # hubs of a bucket in the second round, and their growth per round
 PER_TASK = 400_000          # shingles of crowded texts that one task counts
-CROWD = 32                  # classes in a bucket from which the bounds pay
+CROWD = 64                  # classes in a bucket from which the bounds pay
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
