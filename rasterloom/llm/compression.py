@@ -1,7 +1,9 @@
 """Quality classifier by compression: how much better do good texts' phrases compress a text?
 
-Two zstandard dictionaries of equal size are trained on equally many good and bad
-labelled texts.  A text is compressed with each, all of it, in segments short enough
+Two zstandard dictionaries of equal size are trained on equally many segments of good and
+of bad labelled texts.  All segments of all training texts take part; where a class has
+more of them than the other, or than TRAIN_BYTES hold, a hash of doc_id and place chooses.
+A text is compressed with each, all of it, in segments short enough
 that the dictionary and not the text's own history decides.  The difference of the two
 sizes, normalised by length and by the square root of length, becomes a probability
 through a logistic curve fitted on labelled texts that trained neither dictionary.
@@ -14,6 +16,7 @@ class.  Other columns of the input never matter.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +30,9 @@ from .common import fit_logistic, fold, labelled_sample, sigmoid, slices, table
 from .registry import query
 
 SAMPLE = 12_000         # labelled texts used for fitting
-PER_TEXT = 1_000        # bytes of a labelled text that a dictionary may learn from
 DICTIONARY = 112_640    # bytes of each dictionary
 SEGMENT = 512           # bytes compressed at a time
+TRAIN_BYTES = 100 * DICTIONARY      # of segments that one dictionary learns from (zstandard's advice)
 LEVEL = 3
 
 
@@ -68,9 +71,15 @@ def _features(good: bytes, bad: bytes, level: int):
     return of
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
-    samples = [t[:PER_TEXT] for t in texts if t]
+def _segments(texts: list[tuple[object, bytes]]) -> list[bytes]:
+    """All segments of (doc_id, text) pairs, in the order of a hash of doc_id and place."""
+    found = [(hashlib.blake2b(f"{key} {at}".encode(), digest_size=8).digest(), raw[at:at + SEGMENT])
+             for key, raw in texts for at in range(0, len(raw), SEGMENT)]
+    return [part for _, part in sorted(found)]
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary, or the samples themselves where there are too few to train on."""
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -81,18 +90,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
         sample: int = SAMPLE, size: int = DICTIONARY, level: int = LEVEL) -> Model:
     """Learn from about ``sample`` labelled rows at most; ``keep`` says which labels may be used."""
     rows = labelled_sample(docs, labels, label, sample, keep).orderBy("doc_id", F.xxhash64("text"))
-    known = [(r["text"].encode(), int(r["y"])) for r in rows.select(
-        F.col("text"), "y").toLocalIterator()]
+    known = [(r["doc_id"], r["text"].encode(), int(r["y"])) for r in rows.toLocalIterator()]
     train, rest = known[0::3] + known[1::3], known[2::3]
-    sides = [[t for t, y in train if y == side] for side in (1, 0)]
-    least = min(map(len, sides))
-    if not least:
-        w = fit_logistic(np.zeros((len(known), 2)), np.array([y for _, y in known], float))
+    sides = [[(key, t) for key, t, y in train if y == side] for side in (1, 0)]
+    if not all(sides):
+        w = fit_logistic(np.zeros((len(known), 2)), np.array([y for *_, y in known], float))
         return Model(b"", b"", tuple(w), level)
-    good, bad = (_dictionary(s[:least], size) for s in sides)
+    samples = [_segments(s) for s in sides]
+    most = min(*map(len, samples), TRAIN_BYTES // SEGMENT)
+    good, bad = (_dictionary(s[:most], size) for s in samples)
     features = _features(good, bad, level)
     rest = rest or train
-    w = fit_logistic(np.array([features(t) for t, _ in rest]), np.array([y for _, y in rest], float))
+    w = fit_logistic(np.array([features(t) for _, t, _ in rest]), np.array([y for *_, y in rest], float))
     return Model(good, bad, tuple(w), level)
 
 

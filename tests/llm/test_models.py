@@ -52,6 +52,18 @@ def test_awkward_labels_and_texts(spark, rows):
     assert compression.score(documents(spark, []), compression.fit(docs, known)).collect() == []
 
 
+def test_dictionaries_learn_from_whole_texts_of_all_ids(spark):
+    """What marks a class stands past the first 1,000 bytes, and one good phrase in high ids of the larger class only."""
+    rng = random.Random(2)
+    some = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200))
+    mark = lambda i: "rejected spam wording" if i % 6 == 0 else "recent approved essay" if i > 450 else "classic approved essay"
+    texts = [f"{some()} {mark(i)} {mark(i)} {some()[:200]}" for i in range(600)]
+    docs = documents(spark, texts)
+    model = compression.fit(docs, labels(spark, [(i, int(i % 6 > 0), 0) for i in range(600)]))
+    assert b"recent approved essay" in model.good and b"classic approved essay" in model.good
+    assert b"rejected spam wording" in model.bad and b"approved" not in model.bad
+
+
 def test_swap_penalty_spares_neutral_mentions(spark):
     rng = random.Random(1)
     some = lambda: " ".join(rng.choice(["tree", "house", "river", "bread", "cloud"]) for _ in range(6))
