@@ -15,9 +15,10 @@ that cross partitions; it never gets turns.
 Output: one row per turn in order, and one per inserted empty turn.  The column ``rendered``
 of a conversation's rows, joined by ``seq``, is the formatted conversation.
 
-Defined results: rows equal in conv_id, turn, role and text are one turn; turns sort by turn
-(nulls last), then role, then text, nulls first; null text is empty text; rows without conv_id
-are one conversation; an empty table gives no rows.  Other columns never matter.
+Defined results: every row is a turn, also one of several equal rows; turns sort by turn
+(nulls last), then role, then text, nulls first; null text is empty text, and a merged turn
+without text adds no separator; rows without conv_id are one conversation; an empty table
+gives no rows.  Other columns never matter.
 """
 
 from __future__ import annotations
@@ -137,11 +138,11 @@ def repaired(conversations: DataFrame) -> DataFrame:
     """conv_id, seq, turn, role, new_role, action, rendered."""
     from pyspark import TaskContext
     spark = conversations.sparkSession
+    # The number splits a conversation of one repeated row; equal rows are alike in any order.
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(),
-             F.col("text").asc_nulls_first()]
-    # Rows alike count once; that also splits a conversation of one repeated row.
-    turns = conversations.select("conv_id", "turn", "role", "text").distinct()
-    placed = checkpoint(turns.repartitionByRange(*order).sortWithinPartitions(*order))
+             F.col("text").asc_nulls_first(), F.col("tie")]
+    turns = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("tie"))
+    placed = checkpoint(turns.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie"))
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, lone = _edges(batches)
@@ -257,7 +258,7 @@ def _formatted(key, roles, rows, state: int, seq: int, rest: np.ndarray, goes_on
         text = source["text"] or ""
         if last is not None:
             yield last
-        last = row(label, "relabel" if action == "keep relabel" else action, (JOIN if merges else "") + text,
+        last = row(label, "relabel" if action == "keep relabel" else action, (JOIN if merges and text else "") + text,
                    state != START, source)
         state = label
     for turn in [] if goes_on else ENDINGS[state]:

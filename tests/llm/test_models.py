@@ -213,6 +213,30 @@ def test_awkward_conversations(spark):
     assert roles.repaired(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_repeated_turns_stay(spark):
+    """Equal rows are turns of their own, also where they fill several partitions."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, None, "user", "ok")] * 2 + [(1, None, "assistant", "yes")] + [(2, 0, "user", "again")] * 300 + [(3, 0, "bot", "x")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = []
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(roles, "checkpoint", lambda df: placed.append(df.localCheckpoint()) or placed[-1])
+            got = roles.repaired(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed[0].filter("conv_id = 2").select(F.spark_partition_id()).distinct().count() > 1
+    assert sum(r.action != "insert" for r in got) == len(rows)
+    text = {c: "".join(r.rendered for r in sorted(got, key=lambda r: r.seq) if r.conv_id == c) for c in (1, 2, 3)}
+    assert text[1].count("ok") == 2 and text[1].count("yes") == 1
+    assert text[2] == "<|user|>\n" + "\n\n".join(["again"] * 300) + "<|end|>\n<|assistant|>\n<|end|>\n"
+    mine = sorted((r for r in got if r.conv_id == 2), key=lambda r: r.seq)
+    assert [r.seq for r in mine] == list(range(301)) and paid(mine) == 299 * roles.MERGE + roles.INSERT
+
+
 # -- pipeline -------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
