@@ -12,7 +12,9 @@ of one bucket that end in different components have been compared.
 
 Two bounds on the intersection, both exact, spare most comparisons in crowded buckets: a
 shingle that no other crowded text has is in no intersection, and two texts compared with
-the same first hub cannot share the hub's shingles that either of them lacks.  So a group of
+the same first hub cannot share the hub's shingles that either of them lacks.  The second
+counts what the hub lacks less what nobody else has, so it holds for crowded hubs only:
+such a hub has nothing that is one text's own.  So a group of
 near copies costs a few comparisons of full sets per member.
 
 Two sets of the least similarity that links share no bucket with probability
@@ -210,31 +212,37 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         .select("bucket", "rep", "n", (F.col("m") >= CROWD).alias("crowded")))
     nodes = checkpoint(member.groupBy("rep").agg(F.first("n").alias("n"), F.max("crowded").alias("crowded")))
     texts = _texts(docs, nodes)
-    unique = checkpoint(_unique_shingles(texts, nodes.filter("crowded"), size))
+    # One row per crowded text.
+    unique = checkpoint(nodes.filter("crowded").select("rep").join(_unique_shingles(texts, nodes.filter("crowded"), size), "rep", "left")
+                        .select("rep", F.coalesce("u", F.lit(0)).alias("u")))
 
     # In a crowded bucket only the core, n - u, can be shared; who cannot link with it leaves the bucket.
-    core = F.when(F.col("crowded"), F.col("n") - F.coalesce("u", F.lit(0))).otherwise(F.col("n"))
-    member = (member.join(unique, "rep", "left").withColumn("core", core)
+    core = F.when(F.col("crowded"), F.col("n") - F.col("u")).otherwise(F.col("n"))
+    member = (member.join(unique, "rep", "left").withColumn("core", core).withColumn("foreign", F.col("u").isNull())
               .filter(_possible(F.col("core"), F.col("n"), F.col("core"), percent)).drop("u"))
     member = checkpoint(member)
-    hub = F.struct((-F.floor(1000 * F.col("core") / F.col("n"))).alias("lone"), "rep", "n", "core")
+    # Crowded hubs first: only they bound later pairs.
+    hub = F.struct("foreign", (-F.floor(1000 * F.col("core") / F.col("n"))).alias("lone"), "rep", "n", "core")
     hubs = member.groupBy("bucket").agg(F.min(hub).alias("hub"))
     most = F.least("core", "hub.core")
     first = (member.join(hubs, "bucket").filter("rep <> hub.rep")
              .filter(_possible(most, F.col("n"), F.col("hub.n"), percent))
-             .groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
-    tested = checkpoint(first)
+             .groupBy("rep").agg(F.min("hub").alias("hub"))
+            .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), (~F.col("hub.foreign")).alias("bounds")))
+    first = checkpoint(first)
+    tested = first.select("a", "b")
     seen = checkpoint(compared(tested, texts, size, percent))
     once = seen.groupBy(F.col("b").alias("rep")).agg(      # one row each; several where a doc_id has several texts
         F.first("a").alias("near"), F.first("na").alias("na"), F.first("extra").alias("extra"),
         F.first("lacks").alias("lacks"), F.count(F.lit(1)).alias("rows")).filter("rows = 1").drop("rows")
+    once = once.join(first.filter("bounds").select(F.col("b").alias("rep")), "rep", "left_semi")
     nodes = (nodes.select("rep", "n").join(unique, "rep", "left").join(once, "rep", "left")
-             .withColumn("spare", F.col("extra") - F.coalesce("u", F.lit(0))).drop("u", "extra")
+             .withColumn("spare", F.col("extra") - F.col("u")).drop("u", "extra")
              .withColumn("comp", F.col("rep")))
     nodes = _relabel(checkpoint(nodes), seen.filter("linked").select("a", "b").distinct())
     used, hubs = None, HUBS
     while True:
-        at = member.drop("n").join(nodes, "rep")
+        at = member.drop("n", "foreign").join(nodes, "rep")
         sizes = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
         mixed = (sizes.groupBy("bucket")
                  .agg(F.max_by("comp", F.struct(F.col("m"), -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("c"))

@@ -60,6 +60,21 @@ def test_group_of_near_copies(spark, monkeypatch, size, percent):
     check(spark, rows, size, percent)
 
 
+def test_hub_outside_the_crowded_bucket(spark, monkeypatch):
+    """x and y meet in crowded buckets only; their common hub, of small buckets, has all that is their own."""
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    rng = random.Random(505)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+    common, x, y = some(50), some(50), some(50)
+    sets = [x + y + some(25), common + x, common + y] + [common[:40] + some(55) for _ in range(40)]
+    texts = [" ".join(s) for s in sets]
+    keys = neardup.band_keys(neardup.shingle_sets(texts, 1))
+    met = keys[1] == keys[2]
+    assert (keys[0] == keys[1]).any() and (keys[0] == keys[2]).any() and not (keys[3:] == keys[0]).any()
+    assert met.any() and ((keys == keys[1]).sum(axis=0)[met] >= 4).all()
+    check(spark, list(enumerate(texts)), 1, 30)
+
+
 def test_awkward_rows(spark):
     check(spark, list(enumerate(AWKWARD)))
 
