@@ -191,7 +191,9 @@ class Vocabulary:
             new_at = np.cumsum(keep) - 1
             sym, word, piece, rank = sym[keep], word[keep], piece[keep], rank[keep]
             fresh = new_at[hit]
-            fresh = np.unique(np.concatenate((fresh, fresh[fresh > 0] - 1)))
+            touched = np.zeros(len(sym), bool)
+            touched[fresh] = touched[fresh[fresh > 0] - 1] = True
+            fresh = np.flatnonzero(touched)
             nxt = np.minimum(fresh + 1, len(sym) - 1)
             p, r = self._lookup(sym[fresh], sym[nxt])
             inside = (nxt > fresh) & (word[fresh] == word[nxt])

@@ -23,4 +23,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import compression, decontaminate, neardup, pieces, pii, roles, rules, tokenfile, toxicity, urls  # noqa: F401
+    from . import (alignment, compression, decontaminate, neardup, packing, pieces, pii, roles, rules, tokenfile, toxicity,  # noqa: F401
+                   urls, vectorcodes)

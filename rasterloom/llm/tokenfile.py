@@ -14,28 +14,26 @@ columns of the input never matter.
 
 from __future__ import annotations
 
-import re
-import sys
-from array import array
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_folder, slices, table
 from .registry import query
+from .wordstore import BytePairs, PieceStore, rows_of
 
 END_ID = 2
 ROW_GROUP = 16 << 20        # bytes of a row group
 PAGE = 256 << 10            # bytes of a page: the least that a selective read touches
-SLICE = 6_000_000          # bytes of text encoded at a time
-CACHE = 300_000             # pieces whose ids a worker remembers, twice over
+SLICE = 4_000_000           # bytes of text encoded at a time
+KNOWN = 600_000             # distinct pieces of text that a worker remembers
 
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -51,86 +49,23 @@ SCHEMA = T.StructType([
     T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
-#: A space between two characters that no tokenizer rule takes for white space.  The byte-level
-#: rules always begin a new piece there, so the text on both sides can be encoded apart.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Two white spaces in a row.  Without them a line break is a piece of its own, and a space belongs to
-#: what follows; only the ends of a text can be left with a space alone.
-_DOUBLE_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
-#: A Latin word, then punctuation that starts no contraction: two units of the byte-level rules.
-_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
-_PART = re.compile(r"[ A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*[!-&(-/:-@\[-`{-~]*")
-#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others count up from 256.
-_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPELLED = {b: b for b in _SELF} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
-_GAP = chr(_SPELLED[32])
-
-
-class Encoder(dict):
-    """Little-endian ids of text pieces, remembering those of recent ones."""
-
-    def __init__(self, path: str, most: int = CACHE):
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.most = most
-        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = [t for t in added if _PART.fullmatch(t)]     # those that may hide in a plain word
-        self.older: dict[str, bytes] = {}       # what was known before; what is met again moves over
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts that encode independently and join to ``text``."""
-        parts = _CUT.split(text)
-        return [parts[0], *(" " + p for p in parts[1:])]
+class Encoder:
+    """Ids of whole texts; what repeats is encoded once and remembered in flat arrays."""
+
+    def __init__(self, path: str, most: int = KNOWN):
+        self.pairs = BytePairs(path)
+        self.store = PieceStore(lambda pieces: [self.pairs.encode(pieces)], [np.int32], most)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end ids included, and the number of ids per text; null texts are empty.
 
-        Arrow splits the texts and finds the distinct pieces; each of these is looked up once.
+        Texts that name a special token of the file are cut at sure spaces only, and the library
+        finds it.
         """
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        texts = texts.fill_null("")
-        odd = pc.or_(pc.match_substring(texts, "\0"), pc.match_substring_regex(texts, _DOUBLE_RE2))
-        plain = pc.if_else(odd, "", texts)
-        for old, new in (("\n", "\0\n\0"), (" ", "\0 ")):
-            plain = pc.replace_substring(plain, old, new)
-        pieces = pc.split_pattern(plain, "\0")
-        coded = pc.list_flatten(pieces).dictionary_encode()
-        found = [self[p] for p in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        which = coded.indices.to_numpy()
-        counts = sizes[which]
-        ids = np.frombuffer(b"".join(map(found.__getitem__, which.tolist())), "<i4")
-        stops = np.append(0, np.cumsum(counts))[np.cumsum(pc.list_value_length(pieces).to_numpy())]
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))[::-1].tolist():
-            extra = np.frombuffer(b"".join(map(self.__getitem__, self.pieces(texts[i].as_py()))), "<i4")
-            ids = np.insert(ids, stops[i], extra)
-            stops[i:] += len(extra)
-        ids = np.insert(ids, stops, END_ID).astype(np.int32, copy=False)
-        return ids, np.diff(np.append(0, stops)) + 1
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            match = _WORD.fullmatch(piece)
-            if match is None or self.special and any(t in piece for t in self.special):
-                found = _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-            elif match[2] and match[1]:
-                found = self[match[1]] + self[match[2]]
-            else:
-                # A plain word goes to the tokenizer's model, without its text bookkeeping.
-                spelled = (piece.replace(" ", _GAP) if piece.isascii()
-                           else piece.encode().decode("latin-1").translate(_SPELLED))
-                found = _packed([t.id for t in self.model.tokenize(spelled)])
-        self[piece] = found
-        return found
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+        rows, counts = rows_of(self.store, texts, marks=True, whole=self.pairs.specials)
+        ids, each = self.store.columns[0].take(rows)
+        stops = np.append(0, np.cumsum(each))[np.cumsum(counts)]
+        return np.insert(ids, stops, END_ID), np.diff(np.append(0, stops)) + 1
 
 
 _LOADED: dict[str, Encoder] = {}
