@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -41,8 +42,9 @@ from .wordstore import LETTER_MARK_RE2, BytePairs, PieceStore, rows_of
 LANE = 64                   # tokens of A from which a stretch is probed for common ends
 CROSS = 2_000_000           # link pairs expanded at a time
 WIDE = 4_096                # links of a group beyond which its distinct ids are paired at once
-SLICE = 4_000_000           # bytes of text aligned at a time
-KNOWN = 400_000             # distinct stretches that a worker remembers
+SLICE = 2_000_000           # bytes of text aligned at a time
+KNOWN = 200_000             # distinct stretches that a worker remembers
+AT_ONCE = 20_000            # new stretches aligned at a time
 COMMON = 2_000_000          # pairs whose counts are broadcast
 
 
@@ -124,6 +126,12 @@ class Aligner:
         return ids, np.diff(np.append(0, until))
 
     def _learn(self, stretches: list[str]) -> list[tuple[Any, Any]]:
+        parts = [self._lockstep(stretches[i:i + AT_ONCE]) for i in range(0, len(stretches), AT_ONCE)]
+        columns = [list(zip(*column)) for column in zip(*parts)]
+        return [*((np.concatenate(values), np.concatenate(counts)) for values, counts in columns[:-1]),
+                (list(chain.from_iterable(columns[-1][0])), None)]
+
+    def _lockstep(self, stretches: list[str]) -> list[tuple[Any, Any]]:
         a_ids, a_counts = self.a.encode(stretches)
         b_ids, b_counts = self._b_ids(stretches)
         good = (self._spells(stretches, a_ids, a_counts, self.a.raw, self.a.width)
