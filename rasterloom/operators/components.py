@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.kernels import box, disc
 from ..session import checkpoint
-from .ordering import global_rank, percentiles_wide
+from .ordering import few, global_rank, percentiles_wide
 from .tiles import TILE, focal, map_tiles
 
 _COL_BITS = 31
+_FEW_ROOTS = 100_000    # roots up to which their table is broadcast
+_SALT = 16              # tasks among which a root's nodes are dealt out beyond
 
 
 def _key(row, col):
@@ -63,6 +65,24 @@ def _local_labels(tile: int, halo: int, half: Sequence[tuple[int, int]]):
     return run
 
 
+def _jump(hooked: DataFrame) -> DataFrame:
+    """Each node's root replaced by that root's root where it is smaller.
+
+    A root may be that of half the nodes.  The other side has one row per distinct root: it is
+    broadcast while that is few, and beyond dealt out to _SALT tasks per root.
+    """
+    roots = hooked.select("root").distinct()
+    parent = (hooked.withColumnRenamed("root", "up").join(roots.withColumnRenamed("root", "node"), "node", "left_semi")
+              .withColumnRenamed("node", "root"))
+    if parent.count() <= _FEW_ROOTS:
+        met = hooked.join(F.broadcast(parent), "root", "left")
+    else:
+        salted = hooked.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(_SALT)).cast("int"))
+        copies = parent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+        met = salted.join(copies, ["root", "_salt"], "left")
+    return met.select("node", F.least("root", F.coalesce("up", "root")).alias("root"))
+
+
 def merge_labels(edges: DataFrame) -> DataFrame:
     """Smallest reachable label per node of an undirected graph (a, b): node, root.
 
@@ -82,10 +102,8 @@ def merge_labels(edges: DataFrame) -> DataFrame:
         offers = (seen.select("node", F.least("root", "near").alias("root"))
                   .unionByName(seen.filter("near < root")
                                .select(F.col("root").alias("node"), F.col("near").alias("root"))))
-        hooked = offers.groupBy("node").agg(F.min("root").alias("root"))
-        parent = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        fresh = checkpoint(hooked.join(parent, "root", "left")
-                           .select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
+        hooked = checkpoint(offers.groupBy("node").agg(F.min("root").alias("root")))
+        fresh = checkpoint(_jump(hooked))
         moved = fresh.join(roots.withColumnRenamed("root", "old"), "node").filter("root < old")
         if moved.isEmpty():
             return fresh
@@ -148,9 +166,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, res: float = 1.0,
     firsts = rooted.groupBy("root").agg(F.min(order).alias("_first"))
     numbered = (global_rank(firsts, [F.col("_first").asc()], "_n")
                 .select("root", (F.col("_n") - 1).alias("cluster_id")))
-    # Join key root may be hot (one cluster can hold most points): AQE splits it, and
-    # the cluster table is broadcast by size when it is small.
-    clustered = rooted.join(numbered, "root").select("row", "col", "cluster_id")
+    # One cluster can hold most points; the cluster table is broadcast while it is few.
+    clustered = rooted.join(few(checkpoint(numbered)), "root").select("row", "col", "cluster_id")
     # Stored, so that later passes over the clusters do not repeat the tile work.
     all_ids = checkpoint(flagged.select("row", "col", "is_core").join(clustered, ["row", "col"], "left"))
     reached = focal(all_ids, "cluster_id", how="min", offsets=near, name="near_id", tile=tile)

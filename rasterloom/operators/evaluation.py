@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordering import best_first, global_rank, percentiles_wide, running_counts
+from .ordering import best_first, percentiles_wide, running_counts, top_k
 from .tiles import ring_distance
 
 
@@ -142,10 +142,10 @@ def ranking_scores(scored: DataFrame) -> DataFrame:
 def k_curve(scored: DataFrame, ks: Sequence[int], rank: str | None = None) -> DataFrame:
     """Per K: rows used, cumulative TP, precision, recall and the K-th score.
 
-    ``rank`` names an existing rank column; otherwise rows are ranked best first.
+    ``rank`` names an existing rank column; otherwise the best max(K) rows are ranked.
     """
     ks = sorted(ks)
-    ranked = scored if rank else global_rank(scored, best_first(), "rank")
+    ranked = scored if rank else top_k(scored, ks[-1], best_first(), rank="rank", lead="p")
     r = F.col(rank or "rank")
     # level = number of cuts already passed, so a row belongs to every later cut
     level = sum(((r > F.lit(k)).cast("int") for k in ks), F.lit(0))

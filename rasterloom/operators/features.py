@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import all_valid
 from .grid import stack_bands
-from .ordering import average_ranks, percentiles_wide
+from .ordering import match_null_safe, percentiles_wide, with_average_ranks
 from .sampling import sample_exact
 
 QUANTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
@@ -24,7 +24,7 @@ def summary(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str
         F.min(v).alias("min"), F.max(v).alias("max"))
     pct = percentiles_wide(good, value, named, by)
     if by:
-        return base.join(pct, by)
+        return match_null_safe(base, pct, by)
     one = pct.select(F.struct(*named)).scalar()
     return base.select("*", *[one[n].alias(n) for n in named])
 
@@ -60,8 +60,8 @@ def spearman_pairs(df: DataFrame, bands: list[str], sample: int | None = None) -
     if sample:
         good = sample_exact(good, sample)
     long = stack_bands(good, bands, "row", "col")
-    ranks = average_ranks(long.select("feature", "value"), "value", ["feature"])
-    wide = (long.join(ranks, ["feature", "value"]).groupBy("row", "col")
+    ranks = with_average_ranks(long.select("row", "col", "feature", "value"), "value", ["feature"], ["row", "col"])
+    wide = (ranks.groupBy("row", "col")
             .agg(*[F.max(F.when(F.col("feature") == b, F.col("avg_rank"))).alias(b) for b in bands]))
     return pearson_pairs(wide, bands)
 

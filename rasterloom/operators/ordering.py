@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -20,6 +21,9 @@ from ..session import checkpoint
 
 _TAKE = 5_000    # largest k for take-ordered, where one task merges k rows of every partition
 _BINS = 4096
+_DIGITS = 256       # bins of a power of two in the first pass of percentiles
+_FINE = 1024        # bins into which a later pass cuts a wanted one
+_EXACT = 2_000_000  # rows in wanted bins up to which these are counted value by value
 _GROUPS = 100_000   # groups up to which a table with one row per group is broadcast
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition position here
 
@@ -150,40 +154,79 @@ def few(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.count() <= _GROUPS else groups
 
 
+def match_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row per group) on ``by``; a NULL group is a group."""
+    if not by:
+        return left.join(right, how=how)
+    keyed = right.withColumnsRenamed({b: f"_by_{b}" for b in by})
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    return left.join(keyed, same, how).drop(*[f"_by_{b}" for b in by])
+
+
+def _bin_of(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises: exponent and leading digits, signed.
+
+    Where the logarithm of a value next to a power of two is rounded across it, the digits run
+    one below or beyond their range, which is the same bin.
+    """
+    a = F.abs(v)
+    exponent = F.greatest(F.floor(F.log2(a)), F.lit(-1074))
+    digits = F.floor((a / F.pow(F.lit(2.0), exponent) - 1) * _DIGITS)
+    bin_no = F.when(a == F.lit(float("inf")), F.lit(1 << 40)).otherwise((exponent + 1100) * _DIGITS + digits + 1)
+    return F.when(v > 0, bin_no).when(v < 0, -bin_no).otherwise(F.lit(0))
+
+
 def percentiles(df: DataFrame, value: str, qs: Sequence[float],
                 by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation percentiles: one row per group and q.
+    """Exact linear-interpolation percentiles by selection: one row per group and q.
 
-    Values are first collapsed to (group, value, count), so neither a hot group
-    nor a hot value lands in one task.  Columns: ``by``, ``q``, ``value``.
+    One aggregation counts every value in a bin of its group; the bins' counts tell which ones
+    hold a wanted rank.  Further passes look only at rows of those bins: cut finer while they
+    hold more than _EXACT rows, value by value then.  Nothing is sorted or stored but
+    bins, and neither a hot group nor a hot value lands in one task.  A NULL group is a
+    group.  Columns: ``by``, ``q``, ``value``.
     """
-    by = list(by)
-    clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = (clean.groupBy(*by, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    cum = running_counts(counts, [*[F.col(b).asc() for b in by], F.col("_v").asc()],
-                         {"_cum": "_n"})
-    # Group boundaries: one row per group, taken from the same stored counts.
-    bounds = cum.groupBy(*by).agg(F.max("_cum").alias("_last"), F.sum("_n").alias("_size"))
-    if by:
-        # Null-safe so that a NULL group keeps its percentiles.
-        keyed = bounds.withColumnsRenamed({b: f"_b_{b}" for b in by})
-        same = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
-        joined = cum.join(few(keyed), same).select(*by, "_v", "_n", "_cum", "_last", "_size")
-    else:
-        one = bounds.select(F.struct("_last", "_size")).scalar()
-        joined = cum.select("_v", "_n", "_cum", one["_last"].alias("_last"),
-                            one["_size"].alias("_size"))
-    upto = F.col("_cum") - (F.col("_last") - F.col("_size"))     # inclusive, inside group
-    hits = (joined.withColumn("_hi_ix", upto).withColumn("_lo_ix", upto - F.col("_n"))
-            .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-            .withColumn("_h", (F.col("_size") - 1) * F.col("q"))
-            .withColumn("_is_lo", (F.floor("_h") >= F.col("_lo_ix")) & (F.floor("_h") < F.col("_hi_ix")))
-            .withColumn("_is_hi", (F.ceil("_h") >= F.col("_lo_ix")) & (F.ceil("_h") < F.col("_hi_ix")))
-            .filter(F.col("_is_lo") | F.col("_is_hi")))
-    lo, hi = F.max(F.when(F.col("_is_lo"), F.col("_v"))), F.max(F.when(F.col("_is_hi"), F.col("_v")))
-    frac = F.max(F.col("_h") - F.floor("_h"))
-    return hits.groupBy(*by, "q").agg((lo + (hi - lo) * frac).alias("value"))
+    by, qs = list(by), [float(q) for q in qs]
+    v = F.col(value).cast("double")
+    binned = (df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, (v + F.lit(0.0)).alias("_v"))    # -0.0 is 0.0
+              .withColumn("_bin", _bin_of(F.col("_v"))))
+    span = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    bins = checkpoint(binned.groupBy(*by, "_bin").agg(*span))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))     # bins of one group: the key space bounds them
+    earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    at = (F.col("_size") - 1)
+    targets = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(side).alias("side"), fn(at * F.lit(q)).cast("long").alias("rank"))
+                        for q in qs for side, fn in ((0, F.floor), (1, F.ceil))])
+    inside = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
+    open_ = checkpoint(
+        bins.withColumn("_size", F.sum("_n").over(group)).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_t", F.explode(F.filter(targets, lambda t: inside(t["rank"])))).select("*", "_t.*").drop("_t"))
+    done: DataFrame | None = None
+    while True:
+        found = open_.filter("_lo = _hi")
+        done = found if done is None else done.unionByName(found)
+        rest = open_.filter("_lo < _hi")
+        wanted = rest.groupBy(*by, "_bin", "_lo", "_hi", "_n", "_before").agg(F.lit(1).alias("_one")).drop("_one")
+        rows = wanted.agg(F.sum("_n")).first()[0]
+        if rows is None:
+            break
+        keys = [*by, "_bin", "_from"]
+        edges = wanted.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_bin").alias("_of"), F.col("_lo").alias("_from"),
+                              F.col("_hi").alias("_to"), F.col("_before").alias("_start"))
+        mine = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+        near = binned.join(few(edges), [*mine, F.col("_bin") == F.col("_of"), F.col("_v").between(F.col("_from"), F.col("_to"))])
+        cell = (F.col("_v") if rows <= _EXACT else
+                F.least(F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * _FINE), F.lit(_FINE - 1)))
+        parts = near.groupBy(*keys, "_start", cell.alias("_cell")).agg(*span)
+        upto = Window.partitionBy(*keys).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_start", "_cell")
+        asked = rest.select(*by, "_bin", F.col("_lo").alias("_from"), "_size", "q", "side", "rank")
+        open_ = checkpoint(match_null_safe(parts, asked, keys).filter(inside(F.col("rank"))).select(*open_.columns))
+    part = at * F.col("q") - F.floor(at * F.col("q"))
+    low, high = (F.max(F.when(F.col("side") == side, F.col("_lo"))) for side in (0, 1))
+    ends = done.groupBy(*by, "q").agg(low.alias("_lo"), high.alias("_hi"), F.max(part).alias("_part"))
+    return ends.select(*by, "q", F.when(F.col("_part") == 0, F.col("_lo"))
+                       .otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("value"))
 
 
 def percentiles_wide(df: DataFrame, value: str, named: dict[str, float],
@@ -195,15 +238,79 @@ def percentiles_wide(df: DataFrame, value: str, named: dict[str, float],
         for n, q in named.items()])
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
-                  name: str = "avg_rank") -> DataFrame:
-    """Rank table (group, value, ties, average rank): join it back on (group, value)."""
-    by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    cum = running_counts(counts, [*[F.col(b).asc() for b in by], F.col(value).asc()],
-                         {"_cum": "ties"})
+def _run_starts(keys: Sequence[str], part: bool, schema: StructType):
+    """Arrow function that appends the place, in its partition, of the first row with a row's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start, last = 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            fresh = np.zeros(n, bool)
+            for c in columns:
+                same = pc.equal(c.slice(1), c.slice(0, n - 1)).fill_null(False)
+                both = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, n - 1)))
+                fresh[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+            head = tuple(c[0].as_py() for c in columns)
+            starts = np.where(fresh, at + np.arange(n), -1)
+            starts[0] = start if head == last else at
+            starts = np.maximum.accumulate(starts)
+            start, last, at = int(starts[-1]), tuple(c[n - 1].as_py() for c in columns), at + n
+            extra = [pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))] if part else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra, pa.array(starts)], schema.names)
+
+    return run
+
+
+def with_average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), spread: Sequence[str] = (),
+                       name: str = "avg_rank") -> DataFrame:
+    """Append the average rank of ``value`` (ascending, 1-based, without nulls) within ``by``.
+
+    Rows are range-sorted once, by ``spread`` among equal values, so a value that most rows
+    share fills many partitions.  The first and the last place of a run of ties are taken while
+    the sorted partition is read forwards and backwards; a run that goes on in the next
+    partition is completed from one row per partition.  No join on values.
+    """
+    keys = [*by, value]
+    order = [F.col(c).asc() for c in (*keys, *spread)]
+    added = [StructField("_pid", IntegerType()), StructField("_first", LongType())]
+    schema = StructType([*df.schema.fields, *added])
+    placed = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                        .mapInArrow(_run_starts(keys, True, schema), schema))
+    ends = F.struct(*keys)
+    parts = (placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.max("_first").alias("last"),
+                                        F.count(F.when(F.col("_first") == 0, 1)).alias("lead"),
+                                        F.min_by(ends, "_first").alias("head"), F.max_by(ends, "_first").alias("tail"))
+             .orderBy("_pid").collect())        # one row per partition
+    offsets, total = [], 0
+    for r in parts:
+        offsets.append(total)
+        total += r["n"]
+    first_start, last_stop = list(offsets), [o + r["n"] for o, r in zip(offsets, parts)]
+    for i in range(1, len(parts)):
+        before = parts[i - 1]
+        if before["tail"] == parts[i]["head"]:      # the run began there, or even earlier if it fills that partition
+            first_start[i] = first_start[i - 1] if before["last"] == 0 else offsets[i - 1] + before["last"]
+    for i in range(len(parts) - 2, -1, -1):
+        after = parts[i + 1]
+        if parts[i]["tail"] == after["head"]:       # it ends there, or even later if it fills that partition
+            last_stop[i] = last_stop[i + 1] if after["last"] == 0 else offsets[i + 1] + after["lead"]
+    back = [F.col(c).desc() for c in keys]
+    schema_back = StructType([*schema.fields, StructField("_after", LongType())])
+    ranked = placed.sortWithinPartitions(*back).mapInArrow(_run_starts(keys, False, schema_back), schema_back)
+    carry = df.sparkSession.createDataFrame(
+        [(r["_pid"], o, r["n"], a, b) for r, o, a, b in zip(parts, offsets, first_start, last_stop)],
+        "_pid int, _offset long, _rows long, _begin long, _end long")
+    begin = F.when(F.col("_first") == 0, F.col("_begin")).otherwise(F.col("_offset") + F.col("_first"))
+    end = F.when(F.col("_after") == 0, F.col("_end")).otherwise(F.col("_offset") + F.col("_rows") - F.col("_after"))
+    out = ranked.join(F.broadcast(carry), "_pid")       # one row per partition
+    middle = (begin + end + 1) / 2
     if by:
-        bounds = cum.groupBy(*by).agg((F.max("_cum") - F.sum("ties")).alias("_start"))
-        cum = cum.join(few(bounds), by).withColumn("_cum", F.col("_cum") - F.col("_start"))
-    rank = F.col("_cum") - F.col("ties") + (F.col("ties") + 1) / 2
-    return cum.select(*by, value, "ties", rank.alias(name))
+        sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
+        so_far = Window.orderBy(*[F.col(b).asc() for b in by]).rowsBetween(Window.unboundedPreceding, -1)     # one row per group
+        starts = sizes.withColumn("_group", F.coalesce(F.sum("_m").over(so_far), F.lit(0))).drop("_m")
+        out = match_null_safe(out, few(checkpoint(starts)), by)
+        middle = middle - F.col("_group")
+    return out.select(*df.columns, middle.alias(name))

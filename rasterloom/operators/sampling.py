@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .grid import VALIDATION_BLOCKS, block_of, border_safe, split_of, with_split_distance
 from .metric import truth_reach
-from .ordering import best_first, global_rank, running_counts, top_k
+from .ordering import best_first, few, global_rank, match_null_safe, running_counts, top_k
 from ..functions.kernels import disc
 
 
@@ -69,7 +69,7 @@ def stratified(df: DataFrame, stratum: str, quotas: dict, key: Column | None = N
 
 def split_fraction(df: DataFrame, label: str, fraction: float = 0.2, key: Column | None = None,
                    seed: int = 42) -> DataFrame:
-    """Stratified split: ceil(fraction * n) rows of each label become "test"."""
+    """Stratified split: ceil(fraction * n) rows of each label become "test"; NULL is a label, too."""
     key = key if key is not None else hash_key(seed)
     keyed = df.withColumn("_k", key).withColumn("_one", F.lit(1))
     placed = running_counts(keyed, [F.col(label).asc(), F.col("_k").asc(), F.col("row").asc(),
@@ -77,7 +77,7 @@ def split_fraction(df: DataFrame, label: str, fraction: float = 0.2, key: Column
     # One row per label value.
     sizes = placed.groupBy(label).agg(F.max("_cum").alias("_last"), F.count(F.lit(1)).alias("_size"))
     inside = F.col("_cum") - (F.col("_last") - F.col("_size"))
-    return (placed.join(F.broadcast(sizes), label)
+    return (match_null_safe(placed, few(sizes), [label])
             .withColumn("split", F.when(inside <= F.ceil(F.col("_size") * fraction), F.lit("test"))
                         .otherwise(F.lit("train")))
             .drop("_k", "_one", "_cum", "_last", "_size"))

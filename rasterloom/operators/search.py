@@ -1,82 +1,20 @@
-"""Nearest neighbours and radius search."""
+"""Radius search, coordinate lookup and search circles; the nearest truth is in ``transform``."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, destination, haversine_km
 from ..session import checkpoint
+from .ordering import few
+from .transform import nearest_truth  # noqa: F401
 
 
-def _cell(axis: Column, size: int) -> Column:
-    return F.floor(axis / size).cast("int")
-
-
-def _around(df: DataFrame, size: int, reach: int = 1) -> DataFrame:
-    """Copy rows to the (2*reach+1)^2 cells around their own."""
-    span = F.array(*[F.lit(d) for d in range(-reach, reach + 1)])
-    return (df.withColumn("cy", F.explode(F.transform(span, lambda d: d + _cell(F.col("row"), size))))
-            .withColumn("cx", F.explode(F.transform(span, lambda d: d + _cell(F.col("col"), size)))))
-
-
-def nearest_truth(points: DataFrame, truth: DataFrame, res: float = 100.0, start: int = 16,
-                  grow: int = 4) -> DataFrame:
-    """Exact distance from each point pixel to the nearest truth pixel.
-
-    Expanding cells: truth within ``size`` pixels is always in the 3x3 cells
-    around a point, so such points are settled and only the rest goes on with
-    cells ``grow`` times larger.  Each level first compares points with occupied
-    sub-cells and keeps only those that can still hold the nearest pixel, so a
-    crowded cell is not paired pixel by pixel.  distance_m is +inf without truth.
-    """
-    p = points.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
-    t = truth.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
-    span = t.agg(F.max("row"), F.max("col")).first()
-    if span[0] is None:
-        return p.withColumn("distance_px", F.lit(float("inf"))).withColumn("distance_m", F.lit(float("inf")))
-    far = p.agg(F.max("row"), F.max("col")).first()
-    if far[0] is None:
-        return p.withColumn("distance_px", F.lit(0.0)).withColumn("distance_m", F.lit(0.0))
-    limit = math.hypot(max(span[0], far[0]) + 1, max(span[1], far[1]) + 1)
-    settled: DataFrame | None = None
-    todo, size = p, start
-    while True:
-        sub = max(size // 8, 1)
-        cells = (t.select(_cell(F.col("row"), sub).alias("sy"), _cell(F.col("col"), sub).alias("sx")).distinct()
-                 .withColumn("row", F.col("sy") * sub).withColumn("col", F.col("sx") * sub))
-        placed = (cells.withColumn("cy", _cell(F.col("row"), size)).withColumn("cx", _cell(F.col("col"), size))
-                  .select("cy", "cx", "sy", "sx"))
-
-        def gap(axis: str, cell: str) -> tuple[Column, Column]:
-            lo = F.col(cell) * sub
-            hi = lo + (sub - 1)
-            near = F.greatest(lo - F.col(axis), F.col(axis) - hi, F.lit(0)).cast("double")
-            return near, F.greatest(F.abs(F.col(axis) - lo), F.abs(F.col(axis) - hi)).cast("double")
-
-        (ny, fy), (nx, fx) = gap("row", "sy"), gap("col", "sx")
-        cand = (_around(todo, size).join(placed, ["cy", "cx"])
-                .select("row", "col", "sy", "sx", (ny * ny + nx * nx).alias("near2"), (fy * fy + fx * fx).alias("far2")))
-        # 24 x 24 sub-cells at most per point
-        bound = Window.partitionBy("row", "col")
-        cand = cand.withColumn("_b", F.min("far2").over(bound)).filter(F.col("near2") <= F.col("_b"))
-        pixels = t.select(F.col("row").alias("t_row"), F.col("col").alias("t_col"),
-                          _cell(F.col("row"), sub).alias("sy"), _cell(F.col("col"), sub).alias("sx"))
-        dy, dx = (F.col("row") - F.col("t_row")).cast("double"), (F.col("col") - F.col("t_col")).cast("double")
-        found = (cand.join(pixels, ["sy", "sx"]).groupBy("row", "col")
-                 .agg(F.min(dy * dy + dx * dx).alias("d2")))
-        seen = checkpoint(todo.join(found, ["row", "col"], "left"))
-        done = seen.filter(F.col("d2") <= float(size * size))
-        last = size >= limit
-        done = seen if last else done
-        settled = done if settled is None else settled.unionByName(done)
-        todo = seen.filter(F.col("d2").isNull() | (F.col("d2") > float(size * size))).select("row", "col")
-        if last or todo.isEmpty():
-            break
-        size *= grow
-    px = F.sqrt("d2")
-    return settled.select("row", "col", px.alias("distance_px"), (px * res).alias("distance_m"))
+def _level(half: Column) -> Column:
+    """Power of two of the cell size, in degrees, on which a span of 2 * half takes 4 to 9 cells."""
+    return F.ceil(F.log2(F.greatest(half, F.lit(1e-6)))).cast("int") - 1
 
 
 def radius_search(candidates: DataFrame, searches: DataFrame) -> DataFrame:
@@ -84,35 +22,43 @@ def radius_search(candidates: DataFrame, searches: DataFrame) -> DataFrame:
 
     candidates  longitude, latitude and further columns
     searches    search_id, lon, lat, radius_km
-    Both sides meet on a latitude/longitude cell; a search is copied to the cells
-    of its bounding box, then the exact distance decides.  The cell grows with
-    the largest radius, which keeps that copy count small.
+    A pyramid of latitude/longitude cells: a circle is looked up on the level of its own size,
+    where its bounding box takes a few dozen cells, so a huge circle changes nothing for small
+    ones.  Candidates are placed on the levels in use; the exact distance decides.
     """
-    biggest = searches.agg(F.max("radius_km")).first()[0]
-    if biggest is None:
-        biggest = 1.0
-    step = max(math.degrees(biggest / EARTH_RADIUS_KM), 1e-4)
     half_lat = F.degrees(F.col("radius_km") / EARTH_RADIUS_KM)
     ratio = F.sin(F.col("radius_km") / EARTH_RADIUS_KM) / F.cos(F.radians("lat"))
     # Near a pole the circle spans every longitude.
     half_lon = F.when((F.abs(F.col("lat")) + half_lat < 90) & (ratio < 1), F.degrees(F.asin(ratio))).otherwise(F.lit(180.0))
     pad = 1e-9
+    sized = (searches.withColumn("_hy", half_lat).withColumn("_hx", half_lon)
+             .withColumn("_ly", _level(F.col("_hy"))).withColumn("_lx", _level(F.col("_hx"))))
+
+    def size(level: Column) -> Column:
+        return F.pow(F.lit(2.0), level)
 
-    def cells(centre: Column, half: Column) -> Column:
-        return F.sequence(F.floor((centre - half - pad) / step), F.floor((centre + half + pad) / step))
+    def cells(centre: Column, half: Column, level: Column) -> Column:
+        return F.sequence(F.floor((centre - half - pad) / size(level)), F.floor((centre + half + pad) / size(level)))
 
+    # Pairs of powers of two: the range of a double bounds them, not the data.
+    levels = sorted((r["_ly"], r["_lx"]) for r in sized.select("_ly", "_lx").distinct().collect())
     # A circle across the date line also looks on the other side of it.
     lons = F.explode(F.array(F.col("lon"), F.col("lon") - 360.0, F.col("lon") + 360.0))
-    boxed = (searches.withColumn("_lon", lons)
-             .filter((F.col("_lon") + half_lon >= -180.0) & (F.col("_lon") - half_lon <= 180.0))
-             .withColumn("_cy", F.explode(cells(F.col("lat"), half_lat)))
-             .withColumn("_cx", F.explode(cells(F.col("_lon"), half_lon)))
-             .drop("_lon").dropDuplicates(["search_id", "_cy", "_cx"]))
-    placed = (candidates.withColumn("_cy", F.floor(F.col("latitude") / step))
-              .withColumn("_cx", F.floor(F.col("longitude") / step)))
+    boxed = (sized.withColumn("_lon", lons)
+             .filter((F.col("_lon") + F.col("_hx") >= -180.0) & (F.col("_lon") - F.col("_hx") <= 180.0))
+             .withColumn("_cy", F.explode(cells(F.col("lat"), F.col("_hy"), F.col("_ly"))))
+             .withColumn("_cx", F.explode(cells(F.col("_lon"), F.col("_hx"), F.col("_lx"))))
+             .drop("_lon", "_hy", "_hx").dropDuplicates(["search_id", "_cy", "_cx"]))
+    on = F.array(*[F.struct(F.lit(y).cast("int").alias("_ly"), F.lit(x).cast("int").alias("_lx")) for y, x in levels])
+    if not levels:
+        on = F.array().cast("array<struct<_ly:int,_lx:int>>")
+    placed = (candidates.withColumn("_on", F.explode(on)).select(*candidates.columns, "_on.*")
+              .withColumn("_cy", F.floor(F.col("latitude") / size(F.col("_ly"))))
+              .withColumn("_cx", F.floor(F.col("longitude") / size(F.col("_lx")))))
     d = haversine_km(F.col("lon"), F.col("lat"), F.col("longitude"), F.col("latitude"))
-    return (placed.join(boxed, ["_cy", "_cx"]).withColumn("distance_km", d)
-            .filter(F.col("distance_km") <= F.col("radius_km")).drop("_cy", "_cx"))
+    # Few search cells are broadcast, so that no crowded cell is a shuffle key; AQE splits those of many.
+    return (placed.join(few(checkpoint(boxed)), ["_ly", "_lx", "_cy", "_cx"]).withColumn("distance_km", d)
+            .filter(F.col("distance_km") <= F.col("radius_km")).drop("_ly", "_lx", "_cy", "_cx"))
 
 
 def search_summary(hits: DataFrame, searches: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import GeoRef
+from ..functions.values import sanitize
 from ..operators.grid import with_lonlat
 from ..operators.thinning import thin
 from ..session import checkpoint
@@ -29,6 +30,7 @@ def create_candidates(scored: DataFrame, k: int, power: float, radius: int,
     """
     check_parameters(k, power, radius)
     kept = scored.filter(F.col(valid)) if valid else scored
+    kept = kept.withColumn("p", sanitize(F.col("p")))       # scores beyond [0, 1] are clipped before the power
     # Stored once: the scores may come from a model, and four steps below read them.
     positive = checkpoint(kept.filter(F.col("p") > 0).select("row", "col", "p"))
     if positive.isEmpty():

@@ -65,7 +65,7 @@ def test_nearest_truth_levels(spark, pixels):
     rng = np.random.default_rng(4)
     truth = [(int(r), int(c)) for r, c in rng.integers(0, 12, (15, 2))] + [(300, 280)]
     pts = [(int(r), int(c)) for r, c in rng.integers(0, 320, (60, 2))]
-    rows = S.nearest_truth(pixels(pts, "row int, col int"), pixels(truth, "row int, col int"), start=8).collect()
+    rows = S.nearest_truth(pixels(pts, "row int, col int"), pixels(truth, "row int, col int"), cells=64).collect()
     assert {(r["row"], r["col"]) for r in rows} == set(pts)
     for r in rows:
         want = min(math.hypot(r["row"] - a, r["col"] - b) for a, b in truth)
