@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-__all__ = ["checkpoint", "table", "unused", "shared_folder", "fold", "labelled_sample", "slices",
+__all__ = ["checkpoint", "table", "unused", "shared_folder", "Tables", "fold", "labelled_sample", "slices",
            "flat_words", "mix", "powers", "ascii_lower", "fit_logistic", "sigmoid"]
 
 #: A-Z and a-z, for lower-casing that leaves all other letters alone.
@@ -32,6 +32,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables of an iterative operator in the shared folder; a new version replaces the old one's files."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Store ``df`` and drop what was stored under ``name`` before; nothing lazy may read that any more."""
+        path = shared_folder(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unused(df: DataFrame, prefix: str = "_") -> str:
     """A column prefix that no column of ``df`` starts with."""
     while any(c.lower().startswith(prefix) for c in df.columns):
@@ -56,6 +77,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     ``keep`` filters the labels (column doc_id).  Rows without label or text are not
     used; a doc_id with both labels counts as 1.  The bound holds in expectation and
     is cut at 1.1 times ``limit``.  The labels side has that proven bound and is broadcast.
+    Where doc_ids repeat so often that their rows exceed it, equal rows count once and the
+    others are thinned by a hash of the text to the same bound.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null")
     if keep is not None:
@@ -65,9 +88,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     if n > limit:
         span = 1 << 30
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * limit / n))
-    known = known.limit(int(1.1 * limit) + 1)
-    return (docs.select("doc_id", "text").filter("text is not null")
-            .join(F.broadcast(known), "doc_id").select("doc_id", "text", "y"))
+    most = int(1.1 * limit) + 1
+    known = known.limit(most)
+    texts = docs.select("doc_id", "text").filter("text is not null")
+    chosen = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    rows = chosen.select("doc_id").count()
+    if rows > most:
+        chosen = chosen.dropDuplicates(["doc_id", "text"])
+        rows = chosen.count()
+        span = 1 << 30
+        chosen = chosen.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(span)) < int(span * min(1.0, limit / max(rows, 1)))).limit(most)
+    return chosen
 
 
 def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import merge_labels
-from .common import checkpoint, flat_words, mix, shared_folder, slices, table
+from ..operators.ordering import few
+from .common import Tables, flat_words, mix, shared_folder, slices, table
 from .registry import query
 
 BINS, BANDS = 128, 32
@@ -167,11 +168,12 @@ def _possible(most, n, m, percent: int):
     return 100 * most >= percent * (n + m - most)
 
 
-def _unique_shingles(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame:
+def _unique_shingles(texts: DataFrame, shingles: int, size: int) -> DataFrame:
     """rep, u: shingles of each crowded text that no other crowded text has.
 
     Near copies share most shingles, so they are counted within large slices first, and the
-    texts are read in as few tasks as hold PER_TASK shingles each.
+    crowded texts, which are stored apart, are read in as few tasks as hold PER_TASK of their
+    ``shingles`` each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +185,8 @@ def _unique_shingles(texts: DataFrame, crowd: DataFrame, size: int) -> DataFrame
                     [pa.array(rep[at], pa.int64()), pa.array(shingle.view(np.int64)), pa.array(c, pa.int64())],
                     ["rep", "shingle", "c"])
 
-    wanted = texts.join(crowd.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    tasks = 1 + (crowd.agg(F.sum("n")).first()[0] or 0) // PER_TASK
-    return (wanted.select("doc_id", "text").coalesce(tasks).mapInArrow(run, "rep long, shingle long, c long")
+    wanted = texts.filter("crowded").select("doc_id", "text")
+    return (wanted.coalesce(1 + shingles // PER_TASK).mapInArrow(run, "rep long, shingle long, c long")
             .groupBy("shingle").agg(F.min("rep").alias("rep"), F.sum("c").alias("c"))
             .filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u")))
 
@@ -197,71 +198,75 @@ def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
             .select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
     roots = merge_labels(ends).withColumnRenamed("node", "comp")
     # comp may be hot (one component can hold most nodes): both sides are left to AQE.
-    return checkpoint(nodes.join(roots, "comp", "left")
-                      .withColumn("comp", F.coalesce("root", "comp")).drop("root"))
+    return nodes.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).select("rep", "comp")
 
 
 def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     made = sketches(docs, size)
+    kept = Tables(docs.sparkSession)
     classes = (made.filter("digest is not null").groupBy("digest")
                .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
     member = classes.filter("rep is not null").select("rep", "n", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    member = checkpoint(member.join(shared, "bucket")
-                        .select("bucket", "rep", "n", (F.col("m") >= CROWD).alias("crowded")))
-    nodes = checkpoint(member.groupBy("rep").agg(F.first("n").alias("n"), F.max("crowded").alias("crowded")))
-    texts = _texts(docs, nodes)
+    member = kept.put("member", member.join(shared, "bucket")
+                      .select("bucket", "rep", "n", (F.col("m") >= CROWD).alias("crowded")))
+    nodes = kept.put("nodes", member.groupBy("rep").agg(F.first("n").alias("n"), F.max("crowded").alias("crowded")))
+    texts = _texts(docs, nodes, kept)
     # One row per crowded text.
-    unique = checkpoint(nodes.filter("crowded").select("rep").join(_unique_shingles(texts, nodes.filter("crowded"), size), "rep", "left")
-                        .select("rep", F.coalesce("u", F.lit(0)).alias("u")))
+    crowd = nodes.filter("crowded").select("rep", "n")
+    shingles = crowd.agg(F.sum("n")).first()[0] or 0
+    unique = kept.put("unique", crowd.select("rep").join(_unique_shingles(texts, shingles, size), "rep", "left")
+                      .select("rep", F.coalesce("u", F.lit(0)).alias("u")))
 
     # In a crowded bucket only the core, n - u, can be shared; who cannot link with it leaves the bucket.
     core = F.when(F.col("crowded"), F.col("n") - F.col("u")).otherwise(F.col("n"))
-    member = (member.join(unique, "rep", "left").withColumn("core", core).withColumn("foreign", F.col("u").isNull())
-              .filter(_possible(F.col("core"), F.col("n"), F.col("core"), percent)).drop("u"))
-    member = checkpoint(member)
+    member = kept.put("member", member.join(unique, "rep", "left").withColumn("core", core)
+                      .withColumn("foreign", F.col("u").isNull())
+                      .filter(_possible(F.col("core"), F.col("n"), F.col("core"), percent)).drop("u"))
     # Crowded hubs first: only they bound later pairs.
     hub = F.struct("foreign", (-F.floor(1000 * F.col("core") / F.col("n"))).alias("lone"), "rep", "n", "core")
     hubs = member.groupBy("bucket").agg(F.min(hub).alias("hub"))
     most = F.least("core", "hub.core")
-    first = (member.join(hubs, "bucket").filter("rep <> hub.rep")
-             .filter(_possible(most, F.col("n"), F.col("hub.n"), percent))
-             .groupBy("rep").agg(F.min("hub").alias("hub"))
-            .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), (~F.col("hub.foreign")).alias("bounds")))
-    first = checkpoint(first)
+    first = kept.put("tested0", member.join(hubs, "bucket").filter("rep <> hub.rep")
+                     .filter(_possible(most, F.col("n"), F.col("hub.n"), percent))
+                     .groupBy("rep").agg(F.min("hub").alias("hub"))
+                     .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), (~F.col("hub.foreign")).alias("bounds")))
     tested = first.select("a", "b")
-    seen = checkpoint(compared(tested, texts, size, percent))
+    seen = kept.put("seen", compared(tested, texts, size, percent))
     once = seen.groupBy(F.col("b").alias("rep")).agg(      # one row each; several where a doc_id has several texts
         F.first("a").alias("near"), F.first("na").alias("na"), F.first("extra").alias("extra"),
         F.first("lacks").alias("lacks"), F.count(F.lit(1)).alias("rows")).filter("rows = 1").drop("rows")
     once = once.join(first.filter("bounds").select(F.col("b").alias("rep")), "rep", "left_semi")
-    nodes = (nodes.select("rep", "n").join(unique, "rep", "left").join(once, "rep", "left")
-             .withColumn("spare", F.col("extra") - F.col("u")).drop("u", "extra")
-             .withColumn("comp", F.col("rep")))
-    nodes = _relabel(checkpoint(nodes), seen.filter("linked").select("a", "b").distinct())
-    used, hubs = None, HUBS
+    # What the common hub tells of a text, once per text: arrays stay out of the buckets' rows.
+    told = kept.put("told", once.join(unique, "rep").withColumn("spare", F.col("extra") - F.col("u")).drop("u", "extra"))
+    links = kept.put("links", seen.filter("linked").select("a", "b").distinct())
+    kept.drop("seen")
+    nodes = kept.put("nodes", _relabel(nodes.select("rep", F.col("rep").alias("comp")), links))
+    rounds, used, hubs = 0, None, HUBS
     while True:
-        at = member.drop("n", "foreign").join(nodes, "rep")
+        at = member.select("bucket", "rep", "n", "core", "crowded").join(nodes, "rep")
         sizes = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
         mixed = (sizes.groupBy("bucket")
                  .agg(F.max_by("comp", F.struct(F.col("m"), -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("c"))
                  .filter("c > 1").drop("c"))
-        open_ = checkpoint(at.join(mixed, "bucket"))
+        open_ = kept.put("open", at.join(mixed, "bucket"))
         waiting = open_.filter("comp <> main").drop("main")
         if used is not None:
             waiting = waiting.join(used, ["bucket", "rep"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        chosen = checkpoint(waiting.withColumn("k", rank).filter(F.col("k") <= hubs).drop("k"))
+        chosen = kept.put(f"chosen{rounds}", waiting.withColumn("k", rank).filter(F.col("k") <= hubs).drop("k"))
         if chosen.isEmpty():
             break
         turn = chosen.select("bucket", "rep")
-        used = checkpoint(turn if used is None else used.unionByName(turn))
-        edges = checkpoint(_candidates(open_, chosen, percent).join(tested, ["a", "b"], "left_anti"))
-        tested = checkpoint(tested.unionByName(edges))
-        links = compared(edges, texts, size, percent).filter("linked").select("a", "b").distinct()
-        nodes = _relabel(nodes, links)
+        used = turn if used is None else used.unionByName(turn)
+        rounds += 1
+        edges = kept.put(f"tested{rounds}", _candidates(open_, chosen, told, percent).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(edges)
+        links = kept.put("links", compared(edges, texts, size, percent).filter("linked").select("a", "b").distinct())
+        nodes = kept.put("nodes", _relabel(nodes, links))
         hubs *= MORE
+    kept.drop(*(n for n in kept.paths if n != "nodes"))
     # digest may be hot (a group of exact copies): the class side has one row each, AQE splits the other.
     labels = (classes.select("digest", "rep").join(nodes.select("rep", "comp"), "rep", "left")
               .select(F.col("digest").alias("_digest"), F.coalesce("comp", "rep").alias("comp")))
@@ -271,26 +276,28 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
-def _candidates(open_: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+def _candidates(open_: DataFrame, chosen: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a hub and a member of another component of its bucket that the bounds allow."""
-    x, y = open_.alias("x"), chosen.alias("y")
+    facts = few(told)       # one row per text that was compared with a crowded hub
+    x, y = (side.join(facts, "rep", "left").alias(name) for side, name in ((open_, "x"), (chosen, "y")))
     c = F.col
     by_core = _possible(F.least("x.core", "y.core"), c("x.n"), c("y.n"), percent)
     either = F.aggregate(F.zip_with("x.lacks", "y.lacks", lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0),
                          lambda total, k: total + k)
     by_hub = _possible(c("x.na") - either + F.least("x.spare", "y.spare"), c("x.n"), c("y.n"), percent)
-    told = c("x.crowded") & (c("x.near") == c("y.near"))
+    bound = c("x.crowded") & (c("x.near") == c("y.near"))
     return (x.join(y, (c("x.bucket") == c("y.bucket")) & (c("x.comp") != c("y.comp")) & by_core
-                   & F.when(told, by_hub).otherwise(F.lit(True)))
+                   & F.when(bound, by_hub).otherwise(F.lit(True)))
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, text of the class representatives that share a bucket, stored in the shared folder."""
+def _texts(docs: DataFrame, nodes: DataFrame, kept: Tables) -> DataFrame:
+    """doc_id, text, crowded of the class representatives that share a bucket; the crowded ones in files of their own."""
     path = shared_folder(docs.sparkSession, "candidates")
     (docs.select("doc_id", "text").filter("text is not null")
-     .join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").write.parquet(path))
-    return docs.sparkSession.read.parquet(path)
+     .join(nodes.select(F.col("rep").alias("doc_id"), "crowded"), "doc_id").write.partitionBy("crowded").parquet(path))
+    kept.paths["texts"] = path
+    return docs.sparkSession.read.schema("doc_id long, text string, crowded boolean").parquet(path)
 
 
 def deduplicate(docs: DataFrame, size: int, percent: int) -> DataFrame:
