@@ -159,6 +159,41 @@ def focal(df: DataFrame, value: str, *, how: str, name: str,
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
+def box_statistics(df: DataFrame, values: Sequence[str], box: int, tile: int = TILE) -> DataFrame:
+    """row, col and low, high, total of the (2*box+1) square per column: ``<value>_low`` and so on.
+
+    All columns and reductions take one tile shuffle.  Absent cells are ignored by low and high
+    (NULL when nothing is near) and count 0 in the total.
+    """
+    values = list(values)
+
+    def run(pdf: pd.DataFrame, row0: int, col0: int) -> pd.DataFrame:
+        side = tile + 2 * box
+        y, x = pdf["row"].to_numpy() - (row0 - box), pdf["col"].to_numpy() - (col0 - box)
+        core = (y >= box) & (y < box + tile) & (x >= box) & (x < box + tile)
+        out = {"row": pdf["row"].to_numpy()[core], "col": pdf["col"].to_numpy()[core]}
+        for v in values:
+            a = np.full((side, side), np.nan)
+            a[y, x] = pdf[v].to_numpy(dtype=float, na_value=np.nan)
+            there = ~np.isnan(a)
+            low = -box_max(np.where(there, -a, -np.inf), box, -np.inf)
+            high = box_max(np.where(there, a, -np.inf), box, -np.inf)
+            # Plain sums of the few cells: differences of running sums would lose the last digits.
+            filled = np.where(there, a, 0.0)
+            down = sum(shifted(filled, d, 0, 0.0) for d in range(-box, box + 1))
+            total = sum(shifted(down, 0, d, 0.0) for d in range(-box, box + 1))
+            for name, found in (("low", low), ("high", high), ("total", total)):
+                got = pd.Series(found[y[core], x[core]], dtype="float64")
+                out[f"{v}_{name}"] = got.where(np.isfinite(got), np.nan).to_numpy()
+        return pd.DataFrame(out)
+
+    cells = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                      *[F.col(v).cast("double").alias(v) for v in values])
+    names = [f"{v}_{n}" for v in values for n in ("low", "high", "total")]
+    out = map_tiles(cells, run, "row int, col int, " + ", ".join(f"`{n}` double" for n in names), tile, box)
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names if not n.endswith("_total")})
+
+
 def ring_distance(df: DataFrame, flag: str, reach: int, name: str, tile: int = TILE) -> DataFrame:
     """Chebyshev distance to the nearest flagged pixel up to ``reach``, else NULL."""
 

@@ -101,21 +101,22 @@ def normalization_variants(spark, sf):
         for name, kw in _VARIANTS.items()])
 
 
-@query(sql('''SELECT "row", col, g, round(coalesce(b1, m1, 0), 6) AS b1, round(coalesce(b2, m2, 0), 6) AS b2
-    FROM bands JOIN (SELECT g AS gg, quantile_cont(b1, 0.5) AS m1, quantile_cont(b2, 0.5) AS m2
-      FROM bands GROUP BY 1) ON g = gg''', "bands"))
+@query(sql('SELECT "row", col, g, ' + ", ".join(f"round(coalesce({b}, m_{b}, 0), 6) AS {b}" for b in BANDS)
+           + " FROM bands JOIN (SELECT g AS gg, " + ", ".join(f"quantile_cont({b}, 0.5) AS m_{b}" for b in BANDS)
+           + " FROM bands GROUP BY 1) ON g = gg", "bands"))
 def group_median_imputed(spark, sf):
-    out = G.impute_group_median(bands(spark, sf), ["b1", "b2"], "g")
-    return six(out.select("row", "col", "g", "b1", "b2"), "b1", "b2")
+    out = G.impute_group_median(bands(spark, sf), BANDS, "g")
+    return six(out.select("row", "col", "g", *BANDS), *BANDS)
 
 
-@query(sql('''SELECT "row", col, round((b1 - m) / s, 6) AS scaled FROM bands,
-    (SELECT avg(b1) AS m, stddev_pop(b1) AS s FROM bands WHERE valid) WHERE b1 IS NOT NULL''', "bands"))
+@query(sql('SELECT "row", col, ' + ", ".join(f"round(({b} - m_{b}) / s_{b}, 6) AS {b}" for b in BANDS) + " FROM bands, (SELECT "
+           + ", ".join(f"avg({b}) AS m_{b}, stddev_pop({b}) AS s_{b}" for b in BANDS) + " FROM bands WHERE valid)", "bands"))
 def standard_scaled(spark, sf):
-    """Scaler fitted on the training part (valid pixels), applied to all."""
-    b = bands(spark, sf).filter(F.col("b1").isNotNull())
-    fit = b.filter("valid").agg(F.struct(F.avg("b1").alias("m"), F.stddev_pop("b1").alias("s"))).scalar()
-    return b.select("row", "col", F.round((F.col("b1") - fit["m"]) / fit["s"], 6).alias("scaled"))
+    """Scaler fitted on the training part (valid pixels), applied to all bands of all pixels."""
+    b = bands(spark, sf)
+    fit = b.filter("valid").agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in BANDS])).scalar()
+    scaled = b.withColumn("_fit", fit)      # one struct per row, read for every band
+    return scaled.select("row", "col", *[F.round((F.col(c) - F.col("_fit")[c]["m"]) / F.col("_fit")[c]["s"], 6).alias(c) for c in BANDS])
 
 
 @query(sql('''SELECT event_id, CASE WHEN v IS NULL OR isnan(v) THEN 0e0 ELSE least(greatest(v, 0e0), 1e0) END AS p
@@ -161,13 +162,14 @@ def border_safe_pixels(spark, sf):
 
 @query(sql('''SELECT "row", col, b AS block_id FROM (SELECT *, CAST(least("row" // (h // 4), 3) * 4
     + least(col // (wd // 4), 3) AS INTEGER) AS b FROM bands, size) WHERE b IN (1, 7, 9, 10)
-    AND "row" BETWEEN 15 AND h - 16 AND col BETWEEN 15 AND wd - 16 AND b1 IS NOT NULL''', "bands", "size"))
+    AND "row" BETWEEN 15 AND h - 16 AND col BETWEEN 15 AND wd - 16 AND b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL
+    AND b4 IS NOT NULL AND b5 IS NOT NULL''', "bands", "size"))
 def safe_validation_pixels(spark, sf):
     size = shape(spark, sf)
     block = G.block_of(size.height, size.width)
     return (bands(spark, sf, size)
             .filter(block.isin(*G.VALIDATION_BLOCKS) & G.border_safe(size.height, size.width)
-                    & ~V.is_invalid(F.col("b1")))
+                    & V.all_valid(BANDS))
             .select("row", "col", block.alias("block_id")))
 
 
@@ -218,16 +220,23 @@ def band_names(spark, sf):
         "shown", V.display_name(F.col("cleaned")))
 
 
-@query(sql('''SELECT "row", col, CASE WHEN b1 IS NULL THEN 0 ELSE CAST(floor((least(greatest(b1, lo), hi) - lo)
-    / (hi - lo) * 255e0) AS INTEGER) END AS gray, CASE WHEN b1 IS NULL THEN 0 ELSE 220 END AS alpha
-    FROM bands, (SELECT lo, CASE WHEN hi0 <= lo THEN lo + 1e-6 ELSE hi0 END AS hi FROM
-      (SELECT quantile_cont(b1, 0.02) AS lo, quantile_cont(b1, 0.98) AS hi0 FROM bands))''', "bands"))
+def _stretch_sql(b: str) -> str:
+    return (f"CASE WHEN {b} IS NULL THEN 0 ELSE CAST(floor((least(greatest({b}, lo_{b}), hi_{b}) - lo_{b}) / (hi_{b} - lo_{b}) * 255e0) AS INTEGER) END AS gray_{b}, "
+            f"CASE WHEN {b} IS NULL THEN 0 ELSE 220 END AS alpha_{b}")
+
+
+@query(sql('SELECT "row", col, ' + ", ".join(map(_stretch_sql, BANDS)) + " FROM bands, (SELECT "
+           + ", ".join(f"lo_{b}, CASE WHEN hi_{b} <= lo_{b} THEN lo_{b} + 1e-6 ELSE hi_{b} END AS hi_{b}" for b in BANDS) + " FROM (SELECT "
+           + ", ".join(f"quantile_cont({b}, 0.02) AS lo_{b}, quantile_cont({b}, 0.98) AS hi_{b}" for b in BANDS) + " FROM bands))", "bands"))
 def percentile_stretch(spark, sf):
+    """Every band, cut at its own percentiles; one selection finds them all."""
     b = bands(spark, sf)
-    cut = percentiles_wide(b, "b1", {"lo": 0.02, "hi": 0.98}).select(F.struct("lo", "hi")).scalar()
-    gray = V.stretch_byte(F.col("b1"), cut["lo"], cut["hi"])
-    return b.select("row", "col", gray.alias("gray"),
-                    F.when(V.non_finite(F.col("b1")), 0).otherwise(220).alias("alpha"))
+    cuts = percentiles_wide(G.stack_bands(b, BANDS), "value", {"lo": 0.02, "hi": 0.98}, ["feature"])
+    cut = cuts.agg(F.struct(*[F.max(F.when(F.col("feature") == c, F.struct("lo", "hi"))).alias(c) for c in BANDS])).scalar()
+    shown = b.withColumn("_cut", cut)
+    return shown.select("row", "col", *[x for c in BANDS for x in (
+        V.stretch_byte(F.col(c), F.col("_cut")[c]["lo"], F.col("_cut")[c]["hi"]).alias(f"gray_{c}"),
+        F.when(V.non_finite(F.col(c)), 0).otherwise(220).alias(f"alpha_{c}"))])
 
 
 @query(sql('''SELECT "row", col, round(CASE WHEN valid THEN log10(greatest(p, 1e-6)) END, 6) AS log_p FROM grid''', "grid"))

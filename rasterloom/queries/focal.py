@@ -10,7 +10,7 @@ from ..operators import metric as M
 from ..operators import sampling as R
 from ..operators import tiles as T
 from . import query
-from .fixtures import bands, grid, shape, six, sql, truth, values_offsets
+from .fixtures import BANDS, bands, grid, shape, six, sql, truth, values_offsets
 
 _K = values_offsets(weighted_disc(3, linear_kernel(3)))
 
@@ -102,30 +102,38 @@ def soft_targets(spark, sf):
 
 _TILES = '''tiles AS (SELECT ty, tx FROM (SELECT unnest(range(CAST((h + {s} - 1) // {s} AS BIGINT))) AS ty FROM size),
     (SELECT unnest(range(CAST((wd + {s} - 1) // {s} AS BIGINT))) AS tx FROM size))'''
-_IN_HALO = '''"row" >= ty * {s} - 3 AND "row" < ty * {s} + 32 + 3 AND col >= tx * {s} - 3 AND col < tx * {s} + 32 + 3'''
-_IN_CORE = '''"row" >= ty * {s} AND "row" < ty * {s} + 32 AND col >= tx * {s} AND col < tx * {s} + 32'''
+_IN_HALO = '''"row" >= ty * {s} - {h} AND "row" < ty * {s} + {c} + {h} AND col >= tx * {s} - {h} AND col < tx * {s} + {c} + {h}'''
+_IN_CORE = '''"row" >= ty * {s} AND "row" < ty * {s} + {c} AND col >= tx * {s} AND col < tx * {s} + {c}'''
+#: Core, step and halo of the small tiles, of which the test raster holds many, and of the real ones.
+SMALL, REAL = dict(c=32, s=28, h=3), dict(c=256, s=224, h=15)
 
 
-def _tiling_sql(step: int) -> str:
+def _tiling_sql(c: int, s: int, h: int) -> str:
+    at = dict(c=c, s=s, h=h)
     return sql(f'''SELECT CAST(ty AS INTEGER) AS tile_y, CAST(tx AS INTEGER) AS tile_x, count(*) AS n_read,
-        count(*) FILTER ({_IN_CORE.format(s=step)}) AS n_core FROM grid, tiles WHERE {_IN_HALO.format(s=step)} GROUP BY 1, 2''',
-               "grid", "size", _TILES.format(s=step))
+        count(*) FILTER ({_IN_CORE.format(**at)}) AS n_core FROM grid, tiles WHERE {_IN_HALO.format(**at)} GROUP BY 1, 2''',
+               "grid", "size", _TILES.format(s=s))
 
 
-def _tiling(spark, sf, step):
+def _tiling(spark, sf, c: int, s: int, h: int):
     size = shape(spark, sf)
-    return (T.halo_tiling(grid(spark, sf, size), size.height, size.width, core=32, step=step, halo=3)
+    return (T.halo_tiling(grid(spark, sf, size), size.height, size.width, core=c, step=s, halo=h)
             .groupBy("tile_y", "tile_x").agg(F.count(F.lit(1)).alias("n_read"), F.count(F.when(F.col("in_core"), 1)).alias("n_core")))
 
 
-@query(_tiling_sql(28))
+@query(_tiling_sql(**SMALL))
 def overlapping_tiles(spark, sf):
-    return _tiling(spark, sf, 28)
+    return _tiling(spark, sf, **SMALL)
 
 
-@query(_tiling_sql(32))
+@query(_tiling_sql(**REAL))
+def overlapping_tiles_real(spark, sf):
+    return _tiling(spark, sf, **REAL)
+
+
+@query(_tiling_sql(c=32, s=32, h=3))
 def disjoint_tiles(spark, sf):
-    return _tiling(spark, sf, 32)
+    return _tiling(spark, sf, 32, 32, 3)
 
 
 def tile_mean(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,18 +141,32 @@ def tile_mean(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "p": pdf["p"] / 2 + pdf["p"].mean() / 2})
 
 
-@query(sql(f'''SELECT g."row", g.col, round(CASE WHEN g.valid THEN s.p ELSE 0e0 END, 6) AS p FROM grid g JOIN (
+def _scoring_sql(c: int, s: int, h: int) -> str:
+    at = dict(c=c, s=s, h=h)
+    return sql(f'''SELECT g."row", g.col, round(CASE WHEN g.valid THEN s.p ELSE 0e0 END, 6) AS p FROM grid g JOIN (
     SELECT "row", col, avg(p / 2 + m / 2) AS p FROM grid, (SELECT ty, tx, avg(p) AS m FROM grid, tiles
-      WHERE {_IN_HALO.format(s=28)} GROUP BY 1, 2) WHERE {_IN_CORE.format(s=28)} GROUP BY 1, 2) s
-    ON s."row" = g."row" AND s.col = g.col''', "grid", "size", _TILES.format(s=28)))
-def tile_scoring(spark, sf):
-    """User scorer on halo tiles, core pixels kept, overlaps averaged, mask applied."""
+      WHERE {_IN_HALO.format(**at)} GROUP BY 1, 2) WHERE {_IN_CORE.format(**at)} GROUP BY 1, 2) s
+    ON s."row" = g."row" AND s.col = g.col''', "grid", "size", _TILES.format(s=s))
+
+
+def _scoring(spark, sf, c: int, s: int, h: int):
     size = shape(spark, sf)
     out = T.score_tiles(grid(spark, sf, size), tile_mean, size.height, size.width, columns=["p"],
-                        core=32, step=28, halo=3, mask="valid")
+                        core=c, step=s, halo=h, mask="valid")
     return six(out, "p")
 
 
+@query(_scoring_sql(**REAL))
+def tile_scoring(spark, sf):
+    """User scorer on halo tiles, core pixels kept, overlaps averaged, mask applied."""
+    return _scoring(spark, sf, **REAL)
+
+
+@query(_scoring_sql(**SMALL))
+def tile_scoring_small(spark, sf):
+    return _scoring(spark, sf, **SMALL)
+
+
 @query(sql('''SELECT a."row", a.col, o.dy, o.dx, b.p FROM grid a CROSS JOIN
     (SELECT dy, dx FROM (SELECT unnest(range(-2, 3))::INTEGER AS dy), (SELECT unnest(range(-2, 3))::INTEGER AS dx)) o, size
     JOIN grid b ON b."row" = least(greatest(a."row" + o.dy, 0), h - 1) AND b.col = least(greatest(a.col + o.dx, 0), wd - 1)
@@ -174,25 +196,25 @@ def _patch_summary(cut):
         F.array_min("p").alias("low"), F.array_max("p").alias("high"))
 
 
-_CENTRES = '''SELECT a."row", a.col, count(*) AS cells, {agg} FROM truth a JOIN grid b ON b."row" BETWEEN a."row" - 7 AND a."row" + 7
-    AND b.col BETWEEN a.col - 7 AND a.col + 7 GROUP BY 1, 2 HAVING count(*) = 225'''
+_CENTRES = '''SELECT a."row", a.col, count(*) AS cells, {agg} FROM truth a JOIN grid b ON b."row" BETWEEN a."row" - 15 AND a."row" + 15
+    AND b.col BETWEEN a.col - 15 AND a.col + 15 GROUP BY 1, 2 HAVING count(*) = 961'''
 
 
 def _patches(spark, sf):
     size = shape(spark, sf)
-    return T.patches(grid(spark, sf, size), truth(spark, sf, size), 7, ["p"], on_border="skip")
+    return T.patches(grid(spark, sf, size), truth(spark, sf, size), 15, ["p"], on_border="skip")
 
 
 @query(sql(_CENTRES.format(agg='''round(sum(b.p), 8) AS total, min(b.p) AS low, max(b.p) AS high'''), "grid", "truth"))
 def patch_extraction(spark, sf):
-    """15x15 patches around truth pixels; incomplete ones are skipped."""
+    """31x31 patches around truth pixels; incomplete ones are skipped."""
     return _patch_summary(_patches(spark, sf))
 
 
 @query(sql('SELECT "row", col, round(centre_mean, 6) AS centre_mean FROM (' + _CENTRES.format(
     agg='avg(b.p) FILTER (abs(b."row" - a."row") <= 2 AND abs(b.col - a.col) <= 2) AS centre_mean') + ")", "grid", "truth"))
 def patch_centre_mean(spark, sf):
-    return six(T.centre_mean(_patches(spark, sf), "p", 7), "centre_mean")
+    return six(T.centre_mean(_patches(spark, sf), "p", 15), "centre_mean")
 
 
 def _patch_model(pdf: pd.DataFrame) -> pd.Series:
@@ -217,10 +239,8 @@ def overlap_average(spark, sf):
 _N24 = ", ".join(f"({dy}, {dx})" for dy, dx, _ in box(1))
 
 
-@query(sql(f'''SELECT a."row", a.col, min(b.b1) AS low, max(b.b1) AS high, coalesce(sum(b.b1), 0e0) AS total FROM bands a
-    CROSS JOIN (VALUES {_N24}) v(dy, dx) LEFT JOIN bands b ON b."row" = a."row" + dy AND b.col = a.col + dx GROUP BY 1, 2''', "bands"))
+@query(sql('SELECT a."row", a.col, ' + ", ".join(f"min(b.{b}) AS {b}_low, max(b.{b}) AS {b}_high, round(coalesce(sum(b.{b}), 0e0), 6) AS {b}_total" for b in BANDS)
+           + f''' FROM bands a CROSS JOIN (VALUES {_N24}) v(dy, dx) LEFT JOIN bands b ON b."row" = a."row" + dy AND b.col = a.col + dx GROUP BY 1, 2''', "bands"))
 def focal_statistics(spark, sf):
-    """3x3 minimum, maximum and sum of a band with NoData."""
-    b = bands(spark, sf)
-    lo, hi, total = (T.focal(b, "b1", how=h, box=1, name=n, tile=64) for h, n in (("min", "low"), ("max", "high"), ("sum", "total")))
-    return lo.join(hi, ["row", "col"]).join(total, ["row", "col"])
+    """3x3 minimum, maximum and sum of every band with NoData, in one tile pass."""
+    return six(T.box_statistics(bands(spark, sf), BANDS, 1, tile=64), *[f"{b}_total" for b in BANDS])

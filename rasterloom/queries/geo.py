@@ -6,6 +6,7 @@ from ..operators import evaluation as E
 from ..operators import search as S
 from ..operators.grid import with_lonlat
 from ..operators.ordering import best_first, global_rank
+from ..session import checkpoint
 from ..sources.tables import search_export
 from . import query
 from .fixtures import GEO, grid, points, shape, six, sql, table, truth
@@ -34,12 +35,12 @@ def geographic_extent(spark, sf):
 
 
 _NEAREST = '''near AS (SELECT a."row", a.col, min(sqrt(pow(a."row" - t."row", 2e0) + pow(a.col - t.col, 2e0))) AS d
-    FROM grid a, truth t WHERE a.p >= 0.9e0 GROUP BY 1, 2)'''
+    FROM grid a, truth t GROUP BY 1, 2)'''
 
 
 def _nearest(spark, sf):
     size = shape(spark, sf)
-    return S.nearest_truth(grid(spark, sf, size).filter("p >= 0.9"), truth(spark, sf, size), GEO.res, start=4)
+    return S.nearest_truth(grid(spark, sf, size), truth(spark, sf, size), GEO.res)
 
 
 @query(sql('SELECT "row", col, round(d, 6) AS distance_px, round(d * 100, 6) AS distance_m FROM near', "grid", "truth", _NEAREST))
@@ -53,26 +54,29 @@ def distance_shares(spark, sf):
     return six(E.distance_shares(_nearest(spark, sf), [100, 300, 500, 1000, 2000, 5000]), "share")
 
 
-# One search circle per nation: around the candidate whose rank is the nation's number.
+# Every pixel is a candidate; those whose number is divisible by 50 are searches.
 _SEARCHES = '''cand AS (SELECT row_number() OVER (ORDER BY p DESC, "row" DESC, col DESC) AS rank, "row", col AS "column", p AS score, longitude, latitude
-    FROM points WHERE p >= 0.8e0),
-  srch AS (SELECT c.rank AS search_id, longitude AS lon, latitude AS lat, 0.5e0 + (c.rank % 3) AS radius_km FROM cand c JOIN nation ON c.rank = n_nationkey + 1)'''
+    FROM points),
+  srch AS (SELECT "row"::BIGINT * width + "column" AS search_id, longitude AS lon, latitude AS lat,
+    0.5e0 + (("row"::BIGINT * width + "column") // 50) % 3 AS radius_km FROM cand, w WHERE ("row"::BIGINT * width + "column") % 50 = 0)'''
 _HITS = f'''hits AS (SELECT *, {_HAV} AS distance_km FROM (SELECT *, {_A.format(lat1="lat", lat2="latitude", lon1="lon", lon2="longitude")} AS a
     FROM cand, srch) WHERE {_HAV} <= radius_km)'''
 
 
 def _search(spark, sf):
-    cand = global_rank(points(spark, sf).filter("p >= 0.8"), best_first()).select(
-        "rank", "row", F.col("col").alias("column"), F.col("p").alias("score"), "longitude", "latitude")
-    srch = (cand.join(table(spark, sf, "nation"), F.col("rank") == F.col("n_nationkey") + 1)
-            .select(F.col("rank").alias("search_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"),
-                    (F.lit(0.5) + F.col("rank") % 3).alias("radius_km")))
+    size = shape(spark, sf)
+    cand = checkpoint(global_rank(points(spark, sf, size), best_first()).select(
+        "rank", "row", F.col("col").alias("column"), F.col("p").alias("score"), "longitude", "latitude"))
+    number = F.col("row").cast("long") * size.width + F.col("column")
+    srch = cand.filter(number % 50 == 0).select(
+        number.alias("search_id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"),
+        (F.lit(0.5) + F.floor(number / 50) % 3).alias("radius_km"))
     return cand, srch
 
 
 @query(sql('SELECT search_id, rank, "row", "column", score, round(distance_km, 6) AS distance_km FROM hits', "points", _SEARCHES, _HITS))
 def radius_search(spark, sf):
-    """Circles of 0.5 to 2.5 km around the 25 best candidates."""
+    """Circles of 0.5 to 2.5 km around every 50th pixel, among all pixels."""
     cand, srch = _search(spark, sf)
     return six(S.radius_search(cand, srch).select("search_id", "rank", "row", "column", "score", "distance_km"), "distance_km")
 
@@ -98,6 +102,12 @@ def best_results(spark, sf):
     return S.sorted_results(hits, "score", 25).select("search_id", "rank", "score")
 
 
+@query(sql('SELECT search_id, rank, round(distance_km, 6) AS distance_km FROM hits ORDER BY rank, search_id LIMIT 25', "points", _SEARCHES, _HITS))
+def ranked_results(spark, sf):
+    hits = S.radius_search(*_search(spark, sf))
+    return six(S.sorted_results(hits, "rank", 25).select("search_id", "rank", "distance_km"), "distance_km")
+
+
 @query(sql('''SELECT rank, printf('%.6f', score) AS score, printf('%.4f', distance_km) AS distance_km, printf('%.6f', latitude) AS latitude,
     printf('%.6f', longitude) AS longitude, "row", "column" FROM hits''', "points", _SEARCHES.replace("p AS score", "sqrt(p) AS score"), _HITS))
 def search_export_layout(spark, sf):
@@ -114,15 +124,24 @@ def coordinate_lookup(spark, sf):
     return S.coordinate_lookup(cand, wanted).select("lookup_id", "rank", "row", "column")
 
 
-@query(sql('''SELECT search_id, CAST(i AS INTEGER) AS i, round(degrees(radians(lon) + atan2(sin(b) * sin(ad) * cos(radians(lat)), cos(ad) - sin(radians(lat)) * sin(lat2))), 6) AS longitude,
+_RING = '''ring AS (SELECT search_id, CAST(i AS INTEGER) AS i, round(degrees(radians(lon) + atan2(sin(b) * sin(ad) * cos(radians(lat)), cos(ad) - sin(radians(lat)) * sin(lat2))), 6) AS longitude,
     round(degrees(lat2), 6) AS latitude FROM (SELECT *, asin(sin(radians(lat)) * cos(ad) + cos(radians(lat)) * sin(ad) * cos(b)) AS lat2 FROM (
-      SELECT *, radius_km / 6371e0 AS ad, i / 128e0 * pi() * 2 AS b FROM srch, (SELECT unnest(range(129)) AS i)))''', "points", _SEARCHES))
+      SELECT *, radius_km / 6371e0 AS ad, i / 128e0 * pi() * 2 AS b FROM srch, (SELECT unnest(range(129)) AS i))))'''
+
+
+@query(sql("SELECT * FROM ring", "points", _SEARCHES, _RING))
 def search_circles(spark, sf):
     _, srch = _search(spark, sf)
     return six(S.search_circle(srch), "longitude", "latitude")
 
 
-@query(sql('SELECT search_id, CAST(129 AS INTEGER) AS ring_points FROM srch', "points", _SEARCHES))
+@query(sql('''SELECT search_id, CAST(count(*) AS INTEGER) AS ring_points, max(longitude) FILTER (i = 0) = max(longitude) FILTER (i = 128)
+    AND max(latitude) FILTER (i = 0) = max(latitude) FILTER (i = 128) AS closed, ''' + ", ".join(
+    f"max({c}) FILTER (i = {i}) AS {c}_{i}" for i in (0, 32, 64, 96) for c in ("longitude", "latitude")) + " FROM ring GROUP BY 1", "points", _SEARCHES, _RING))
 def search_circle_rings(spark, sf):
+    """Closed rings in order: the corners of the compass and the number of points."""
     _, srch = _search(spark, sf)
-    return S.circle_rings(S.search_circle(srch)).select("search_id", F.size("ring").alias("ring_points"))
+    at = lambda i, k: F.round(F.col("ring")[i][k], 6)
+    return S.circle_rings(S.search_circle(srch)).select(
+        "search_id", F.size("ring").alias("ring_points"), ((at(0, 0) == at(128, 0)) & (at(0, 1) == at(128, 1))).alias("closed"),
+        *[at(i, k).alias(f"{c}_{i}") for i in (0, 32, 64, 96) for k, c in enumerate(("longitude", "latitude"))])

@@ -9,7 +9,7 @@ from ..plans.candidates import candidate_table
 from . import query
 from .cleaning import _STATS, _norm_sql
 from .fixtures import BANDS, GEO, bands, shape, six, sql, sql_lonlat
-from .focal import _IN_CORE, _IN_HALO, _TILES
+from .focal import _IN_CORE, _IN_HALO, _TILES, REAL
 from .thinning import thin_cte
 
 TOP, POWER, RADIUS = 300, 5e-5, 1
@@ -23,12 +23,12 @@ def band_model(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @query(sql('''SELECT thin_rank AS rank, "row", col AS "column", p AS raw_model_probability, round(pow(p, 0.00005e0), 6) AS ranking_score,
     x, y, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM placed''',
-           *_STATS, "size", _TILES.format(s=28),
+           *_STATS, "size", _TILES.format(s=REAL["s"]),
            f'norm AS (SELECT "row", col, valid, {_norm_sql("valid", "greatest(s{i}, 1e-8)", "mean")} FROM bands, st)',
            'own AS MATERIALIZED (SELECT "row", col, valid, least(greatest(0.5e0 + (b1 + b2 + b3 + b4 + b5) / 50, 0e0), 1e0) AS p FROM norm)',
            f'''scored AS MATERIALIZED (SELECT "row", col, round(avg(p / 2 + m / 2), 9) AS p FROM own,
-             (SELECT ty, tx, avg(p) AS m FROM own, tiles WHERE {_IN_HALO.format(s=28)} GROUP BY 1, 2)
-             WHERE valid AND {_IN_CORE.format(s=28)} GROUP BY 1, 2)''',
+             (SELECT ty, tx, avg(p) AS m FROM own, tiles WHERE {_IN_HALO.format(**REAL)} GROUP BY 1, 2)
+             WHERE valid AND {_IN_CORE.format(**REAL)} GROUP BY 1, 2)''',
            *thin_cte("scored", RADIUS),
            f'''cut AS (SELECT *, {GEO.left}e0 + (col + 0.5e0) * {GEO.res}e0 AS x,
              {GEO.top}e0 - ("row" + 0.5e0) * {GEO.res}e0 AS y FROM picks WHERE thin_rank <= {TOP})''',
@@ -38,8 +38,7 @@ def final_pipeline(spark, sf):
     raw = bands(spark, sf, size)
     normal = G.normalize_bands(raw, BANDS, G.band_stats(raw, BANDS), valid="valid").withColumns(
         {b: F.round(b, 6) + F.lit(0.0) for b in BANDS})
-    scored = T.score_tiles(normal.drop("p"), band_model, size.height, size.width, columns=BANDS,
-                           core=32, step=28, halo=3, mask="valid")
+    scored = T.score_tiles(normal.drop("p"), band_model, size.height, size.width, columns=BANDS, mask="valid")
     # Nine decimals: the order in which a tile mean is summed must not decide a rank.
     scored = scored.withColumn("p", F.round("p", 9))
     return six(candidate_table(scored, TOP, POWER, RADIUS, GEO), "ranking_score", "longitude", "latitude")

@@ -6,7 +6,7 @@ from ..functions.kernels import box, disc, linear_kernel, weighted_disc
 from ..functions.values import sanitize, sigmoid
 from ..operators import metric as M
 from ..operators.grid import block_of
-from . import query
+from . import ORACLES, query
 from .fixtures import grid, grid2, shape, six, sql, table, truth, union_all, values_offsets
 
 OFFSETS = values_offsets(weighted_disc(3, linear_kernel(3)))
@@ -37,10 +37,10 @@ def dti_canonical(spark, sf):
 
 
 @query(sql(f"SELECT {ROUNDED}, round({DTI}, 6) AS dti FROM sums", "grid", "truth",
-           values_offsets(weighted_disc(5, linear_kernel(5))), dti_cte()))
+           values_offsets(weighted_disc(15, linear_kernel(15))), dti_cte()))
 def dti_wider_radius(spark, sf):
     size = shape(spark, sf)
-    return six(M.dti(grid(spark, sf, size), truth(spark, sf, size), radius=5), "tp", "fp", "fn", "dti")
+    return six(M.dti(grid(spark, sf, size), truth(spark, sf, size), radius=15), "tp", "fp", "fn", "dti")
 
 
 @query(sql('''SELECT 'zero' AS rule, 0e0 AS dti UNION ALL SELECT 'loop', CASE WHEN sum(p) > 0 THEN 0e0 ELSE 1e0 END FROM grid
@@ -160,6 +160,13 @@ def patch_scores(spark, sf):
     return six(out.select("vec_id", "tp", "fp", "fn", "n_truth", "score"), "tp", "fp", "fn", "score")
 
 
+@query(f"SELECT count(*) AS patches, round(avg(score), 6) AS mean_score FROM ({ORACLES['patch_scores']})")
+def patch_mean_score(spark, sf):
+    """Mean over the patches that hold truth."""
+    out = M.patch_dti(patch_cells(spark, sf), ["vec_id"], 8)
+    return out.agg(F.count(F.lit(1)).alias("patches"), F.round(F.avg(F.round("score", 6)), 6).alias("mean_score"))
+
+
 _SOFT = "sum({w} * p * g) AS tp, sum({w} * p * (1 - g)) AS fp, sum({w} * (1 - p) * g) AS fn"
 
 

@@ -52,28 +52,30 @@ def stratified_split(spark, sf):
 @query(sql(f'''SELECT "row", col, block_id, split FROM (SELECT *, CAST(least("row" // (h // 4), 3) * 4 + least(col // (wd // 4), 3) AS INTEGER) AS block_id,
     CASE WHEN least("row" // (h // 4), 3) * 4 + least(col // (wd // 4), 3) IN (1, 7, 9, 10) THEN 'validation' ELSE 'train' END AS split
     FROM bands, size WHERE b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL AND b4 IS NOT NULL AND b5 IS NOT NULL
-      AND "row" BETWEEN 5 AND h - 6 AND col BETWEEN 5 AND wd - 6) a
-    WHERE (SELECT min({_GAP}) FROM blocks WHERE (b IN (1, 7, 9, 10)) <> (a.split = 'validation')) > 5''', "bands", "size", _RECTS))
+      AND "row" BETWEEN 15 AND h - 16 AND col BETWEEN 15 AND wd - 16) a
+    WHERE (SELECT min({_GAP}) FROM blocks WHERE (b IN (1, 7, 9, 10)) <> (a.split = 'validation')) > 15''', "bands", "size", _RECTS))
 def leak_safe_split(spark, sf):
-    """Margin 5 fits the small test raster; 15 is the default."""
     size = shape(spark, sf)
-    out = R.leak_safe(bands(spark, sf, size), size.height, size.width, all_valid(BANDS), margin=5)
+    out = R.leak_safe(bands(spark, sf, size), size.height, size.width, all_valid(BANDS))
     return out.select("row", "col", "block_id", "split")
 
 
-_MINED = f'''mined AS (SELECT a."row", a.col, a.p FROM grid a, size WHERE a.g = 0 AND a.valid AND a.p >= 0.3e0
-    AND a."row" BETWEEN 5 AND h - 6 AND a.col BETWEEN 5 AND wd - 6
+# Confident truth alone counts as truth, so that pixels far from any remain on the test raster.
+_MINED = f'''rare AS (SELECT "row", col FROM grid WHERE g > 0 AND p >= 0.9e0),
+  mined AS (SELECT a."row", a.col, a.p FROM grid a, size WHERE NOT (a.g > 0 AND a.p >= 0.9e0) AND a.valid AND a.p >= 0.3e0
+    AND a."row" BETWEEN 15 AND h - 16 AND a.col BETWEEN 15 AND wd - 16
     AND least(a."row" // (h // 4), 3) * 4 + least(a.col // (wd // 4), 3) NOT IN (1, 7, 9, 10)
-    AND (SELECT min({_GAP.replace('"row"', 'a."row"').replace('col,', 'a.col,').replace(', col', ', a.col').replace('- col', '- a.col')}) FROM blocks WHERE b IN (1, 7, 9, 10)) > 5
-    AND NOT EXISTS (SELECT 1 FROM truth t WHERE t."row" BETWEEN a."row" - 2 AND a."row" + 2 AND t.col BETWEEN a.col - 2 AND a.col + 2
-      AND (t."row" - a."row") * (t."row" - a."row") + (t.col - a.col) * (t.col - a.col) < 4))'''
+    AND (SELECT min({_GAP.replace('"row"', 'a."row"').replace('col,', 'a.col,').replace(', col', ', a.col').replace('- col', '- a.col')}) FROM blocks WHERE b IN (1, 7, 9, 10)) > 15
+    AND NOT EXISTS (SELECT 1 FROM rare t WHERE t."row" BETWEEN a."row" - 5 AND a."row" + 5 AND t.col BETWEEN a.col - 5 AND a.col + 5
+      AND (t."row" - a."row") * (t."row" - a."row") + (t.col - a.col) * (t.col - a.col) < 25))'''
 
 
-@query(sql('SELECT "row", col, p FROM mined ORDER BY p DESC, "row" DESC, col DESC LIMIT 400', "truth", "size", _RECTS, _MINED))
+@query(sql('SELECT "row", col, p FROM mined ORDER BY p DESC, "row" DESC, col DESC LIMIT 100000', "grid", "size", _RECTS, _MINED))
 def hard_negatives(spark, sf):
-    """Best 400; gaps of 5 px to validation and 2 px to truth fit the small raster."""
+    """Best 100,000, more than 15 px from edges and validation and at least 5 px from truth."""
     size = shape(spark, sf)
-    return R.hard_negatives(labelled(spark, sf, size), size.height, size.width, truth_gap=2.0, margin=5, n=400)
+    label = ((F.col("g") > 0) & (F.col("p") >= 0.9)).cast("int").alias("label")
+    return R.hard_negatives(grid(spark, sf, size).select("row", "col", "p", "valid", label), size.height, size.width)
 
 
 @query(sql('''SELECT a."row", a.col, round(sqrt(min((t."row" - a."row") * (t."row" - a."row") + (t.col - a.col) * (t.col - a.col))::DOUBLE), 6) AS truth_distance

@@ -8,8 +8,9 @@ from ..operators.ordering import best_first, top_k
 from ..plans.candidates import candidate_table
 from ..functions.values import error_class
 from ..sources import tables as S
+from ..session import shared_path
 from . import query
-from .fixtures import GEO, bands, grid, grid2, shape, six, sql, sql_lonlat
+from .fixtures import BANDS, GEO, bands, grid, grid2, shape, six, sql, sql_lonlat, union_all
 from .thinning import thin_cte
 
 
@@ -49,17 +50,18 @@ def raster_compatibility(spark, sf):
                         G.raster_profile(grid2(spark, sf, size), names, GEO))
 
 
-@query(sql('''SELECT min(b1) FILTER (valid) AS min, max(b1) FILTER (valid) AS max,
-    round(avg(b1) FILTER (valid), 6) AS mean, count(*) FILTER (NOT valid OR b1 IS NULL) AS masked
-    FROM bands''', "bands"))
+@query(sql(" UNION ALL ".join(f'''SELECT '{b}' AS band, min({b}) FILTER (valid) AS min, max({b}) FILTER (valid) AS max,
+    round(avg({b}) FILTER (valid), 6) AS mean, count(*) FILTER (NOT valid OR {b} IS NULL) AS masked FROM bands''' for b in BANDS), "bands"))
 def band_profile(spark, sf):
-    return six(G.band_profile(bands(spark, sf), "b1", "valid"), "mean")
+    b = bands(spark, sf)
+    return six(union_all([G.band_profile(b, c, "valid").withColumn("band", F.lit(c)) for c in BANDS]), "mean")
 
 
-@query(sql('''SELECT b1 AS value, count(*) AS n FROM bands WHERE b1 IS NOT NULL
-    GROUP BY 1 ORDER BY 1 LIMIT 20''', "bands"))
+@query(sql(" UNION ALL ".join(f'''(SELECT '{b}' AS band, {b} AS value, count(*) AS n FROM bands WHERE {b} IS NOT NULL
+    GROUP BY 2 ORDER BY 2 LIMIT 20)''' for b in BANDS), "bands"))
 def band_distinct_values(spark, sf):
-    return G.distinct_values(bands(spark, sf), "b1")
+    b = bands(spark, sf)
+    return union_all([G.distinct_values(b, c).withColumn("band", F.lit(c)) for c in BANDS])
 
 
 @query(sql('SELECT CAST(g AS INTEGER) AS value, count(*) AS n FROM grid GROUP BY 1', "grid"))
@@ -144,11 +146,54 @@ def _points_of(spark, sf, error: int):
     return S.error_points(flagged, error, "p")
 
 
-@query(sql('''SELECT rank, "row", col AS "column", p AS raw_model_probability FROM cand
-    WHERE rank <= 100''', *_CANDIDATES, recursive=True))
+_HEADS = (20, 100, 500, 1000)
+
+
+@query(sql(" UNION ALL ".join(f'''SELECT {n} AS head, rank, "row", col AS "column", p AS raw_model_probability FROM cand
+    WHERE rank <= {n}''' for n in _HEADS), *_CANDIDATES, recursive=True))
 def candidate_head(spark, sf):
-    return (_candidates(spark, sf).orderBy("rank").limit(100)
-            .select("rank", "row", "column", "raw_model_probability"))
+    """The best 20, 100, 500 and 1,000 as exported; one sort serves all."""
+    best = _candidates(spark, sf).orderBy("rank").limit(max(_HEADS))
+    head = F.explode(F.array(*[F.lit(n) for n in _HEADS]))
+    return (best.withColumn("head", head).filter(F.col("rank") <= F.col("head"))
+            .select("head", "rank", "row", "column", "raw_model_probability"))
+
+
+@query(sql('''SELECT CAST(rank AS INTEGER) AS rank, "row", col AS "column", CAST(printf('%.9f', p) AS DOUBLE) AS raw_model_probability,
+    CAST(printf('%.9f', pow(p, 0.001e0)) AS DOUBLE) AS ranking_score, CAST(printf('%.3f', x) AS DOUBLE) AS x, CAST(printf('%.3f', y) AS DOUBLE) AS y,
+    CAST(printf('%.8f', longitude) AS DOUBLE) AS longitude, CAST(printf('%.8f', latitude) AS DOUBLE) AS latitude FROM cand''', *_CANDIDATES, recursive=True))
+def candidate_file_roundtrip(spark, sf):
+    """The candidate CSV written, its columns checked, and read back with the fixed schema."""
+    path = shared_path(spark, "candidates")
+    S.write_csv(S.candidate_export(_candidates(spark, sf)), path)
+    return S.read_candidates(spark, path)
+
+
+@query(sql('''SELECT rank, "row", col AS "column", round(pow(p, 0.001e0), 6) AS score, x, y,
+    round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM cand''', *_CANDIDATES, recursive=True))
+def candidate_geojson_file(spark, sf):
+    """FeatureCollections written as files and read back."""
+    path = shared_path(spark, "geojson")
+    S.write_geojson(_candidates(spark, sf), path)
+    return six(S.read_geojson(spark, path, lines=True), "score", "longitude", "latitude")
+
+
+@query(sql('''SELECT "row" // 32 AS strip, "row", col, p FROM grid, size WHERE "row" >= h // 64 * 32 AND "row" < h // 64 * 32 + 64''', "grid", "size"))
+def strip_store(spark, sf):
+    """The whole raster stored by strips of 32 rows; the two strips in its middle read back, the others pruned."""
+    size = shape(spark, sf)
+    path, first = shared_path(spark, "strips"), size.height // 64 * 32
+    S.write_strips(grid(spark, sf, size).select("row", "col", "p"), path, 32)
+    return S.read_strips(spark, path, first, first + 64, 32).select("strip", "row", "col", "p")
+
+
+@query(sql('''SELECT CAST(g AS INTEGER) AS g, count(*) AS n, round(avg(p), 6) AS mean_p FROM grid GROUP BY 1''', "grid"))
+def result_file_roundtrip(spark, sf):
+    """An analysis table written as CSV in order and read back."""
+    path = shared_path(spark, "result")
+    table = grid(spark, sf).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+    S.write_csv(table, path, ["g"])
+    return spark.read.option("header", True).schema("g int, n long, mean_p double").csv(path)
 
 
 @query(sql('''SELECT 'forest' AS model, 5 AS bands, max(h * wd) AS k, 0.001e0 AS power, 1 AS radius,

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,8 @@ def get_session(app_name: str = "rasterloom", master: str | None = None,
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a temporary folder, because there
-    driver and executors share one disk.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; set from ``spark.checkpoint.dir`` where the session has none yet."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,4 +48,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which driver and executors share."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
+    local session without that setting gets a temporary folder, because there
+    driver and executors share one disk.
+    """
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)

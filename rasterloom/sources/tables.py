@@ -111,9 +111,21 @@ def error_points(flagged: DataFrame, error: int, *extra: str) -> DataFrame:
     return flagged.filter(F.col("error") == error).select("row", "col", *extra)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate FeatureCollection to rows: rank, row, column, score, x, y, lon/lat."""
-    return flatten_features(spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Candidate FeatureCollections to rows: rank, row, column, score, x, y, lon/lat.
+
+    ``lines``: one collection a line, as ``write_geojson`` stores them, so that files are split.
+    """
+    return flatten_features(spark.read.schema(GEOJSON_SCHEMA).option("multiLine", not lines).json(path))
+
+
+def write_geojson(candidates: DataFrame, path: str, size: int = 1000) -> None:
+    """FeatureCollections of at most ``size`` candidates in rank order, one a line."""
+    chunk = F.floor((F.col("rank") - 1) / size).alias("chunk")
+    features = to_features(candidates).select(chunk, F.struct("rank", "feature").alias("f"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                    F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["feature"]), ","), F.lit("]}"))
+    features.groupBy("chunk").agg(text.alias("value")).select("value").write.mode("overwrite").text(path)
 
 
 def flatten_features(collections: DataFrame) -> DataFrame:
