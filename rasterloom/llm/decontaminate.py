@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import few
 from .common import ascii_lower, checkpoint, shared_folder, table, unused
 from .registry import query
 
@@ -139,7 +140,9 @@ def phrase_matches(split: DataFrame, matches: DataFrame, anchors: DataFrame) ->
     start = F.col("p1") - F.col("o1")
     asked = (_of(matches.filter("off = 0"), anchors.filter("whole"), "window_id", "words").filter(start >= 0)
              .groupBy(*KEY).agg(F.collect_list(F.struct("window_id", start.alias("start"), "words")).alias("asked")))
-    own = split.select(*KEY, "w").join(asked, KEY)
+    # Only the documents with candidates are shuffled with their words.
+    asked = checkpoint(asked)
+    own = split.select(*KEY, "w").join(few(asked.select(*KEY)), KEY, "left_semi").join(asked, KEY)
     same = F.filter("asked", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
     found = own.select(*KEY, F.explode(F.transform(same, lambda c: F.struct(
         c["window_id"].alias("window_id"), c["start"].alias("start"), F.size(c["words"]).alias("n")))).alias("c"))
