@@ -273,3 +273,11 @@ def test_wide_groups_and_probed_lanes(monkeypatch):
     monkeypatch.setattr(alignment, "LANE", 3)
     got = alignment.Aligner(A, B).align(pa.array(texts))
     assert all(got[k].equals(want[k]) for k in want)
+
+
+def test_labelled_rows_are_bounded_however_often_an_id_repeats(spark):
+    from rasterloom.llm.common import labelled_sample
+    known = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    for texts in (["same"] * 2_000, [f"text {i}" for i in range(2_000)]):
+        found = labelled_sample(documents(spark, texts, [1] * 2_000), known, "quality", 10)
+        assert 0 < found.count() <= 12
