@@ -2,9 +2,11 @@
 
 Visiting pixels best-first and skipping any whose (2r+1) window touches an
 occupied cell selects the lexicographically first maximal independent set of the
-graph that joins pixels at Chebyshev distance <= 2r.  Each round a tile settles
-everything that does not hinge on an undecided pixel of a neighbour tile; only
-that boundary residue goes to the next round.
+graph that joins pixels at Chebyshev distance <= 2r.  A tile settles everything
+that does not hinge on an undecided pixel of a neighbour tile.  What the first
+round leaves undecided is stored once; a later round runs only the tiles that new
+picks of other tiles can have changed and stores nothing but its own picks, from
+which every tile works out which of its undecided pixels are still open.
 """
 
 from __future__ import annotations
@@ -16,21 +18,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpoint
-from .ordering import best_first, global_rank, prefix_bound, top_k
-from .tiles import TILE, box_max, map_tiles
+from .ordering import best_first, few, global_rank, prefix_bound, top_k
+from .tiles import TILE, box_max, explode_tiles, run_tiles
 
-def _settle(tile: int, reach: int):
-    """Tile function: state 0 = undecided, 1 = picked."""
+_STATES = "row int, col int, p double, state int"
+
+
+def _settle(tile: int, reach: int, halo: int, leave_open: bool):
+    """Tile function: state 0 = undecided, 1 = picked; undecided pixels come back if ``leave_open``.
+
+    ``halo`` is the width of the border that the given pixels may fill.
+    """
 
     def run(pdf: pd.DataFrame, row0: int, col0: int) -> pd.DataFrame:
-        y = pdf["row"].to_numpy() - (row0 - reach)
-        x = pdf["col"].to_numpy() - (col0 - reach)
-        core = (y >= reach) & (y < reach + tile) & (x >= reach) & (x < reach + tile)
+        y = pdf["row"].to_numpy() - (row0 - halo)
+        x = pdf["col"].to_numpy() - (col0 - halo)
+        core = (y >= halo) & (y < halo + tile) & (x >= halo) & (x < halo + tile)
         state = pdf["state"].to_numpy()
         waiting = state == 0
         if not (core & waiting).any():
             return pdf.iloc[:0][["row", "col", "p", "state"]]
-        side = tile + 2 * reach
+        side = tile + 2 * halo
         # Dense in-tile ranks realise the (p, row, col) order as one integer; 0 = nothing.
         order = np.lexsort((pdf["col"].to_numpy(), pdf["row"].to_numpy(), pdf["p"].to_numpy()))
         rank = np.empty(len(pdf), dtype=np.int64)
@@ -38,7 +46,7 @@ def _settle(tile: int, reach: int):
         live = np.zeros((side, side), dtype=np.int64)
         live[y[waiting], x[waiting]] = rank[waiting]
         mine = np.zeros((side, side), dtype=bool)
-        mine[reach:reach + tile, reach:reach + tile] = True
+        mine[halo:halo + tile, halo:halo + tile] = True
         picked = np.zeros((side, side), dtype=bool)
         fresh = np.zeros((side, side), dtype=bool)
         fresh[y[~waiting], x[~waiting]] = True
@@ -50,7 +58,7 @@ def _settle(tile: int, reach: int):
                 break
             picked |= fresh
         now = np.where(picked[y, x], 1, 0)
-        keep = core & waiting & (picked[y, x] | (live[y, x] > 0))
+        keep = core & waiting & (picked[y, x] | (leave_open & (live[y, x] > 0)))
         out = pdf.loc[keep, ["row", "col", "p"]].copy()
         out["state"] = now[keep].astype("int32")
         return out
@@ -85,27 +93,40 @@ def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool =
                 pixels = pixels.filter(F.col("p") >= F.lit(bound))
         reach = 2 * radius
         tile = tile or max(TILE, 4 * reach)
-        settle = _settle(tile, reach)
-        todo = pixels.withColumn("state", F.lit(0))
-        found: list[DataFrame] = []
-        while True:
-            after = checkpoint(map_tiles(todo, settle, "row int, col int, p double, state int",
-                                         tile, reach))
-            fresh, open_ = after.filter("state = 1"), after.filter("state = 0")
-            found.append(fresh.drop("state"))
-            if open_.isEmpty():
-                break
-            # A pick has already cleared its own tile; only those within reach of a
-            # tile edge can matter to a neighbour.
-            edge = [(F.pmod(F.col(a), F.lit(tile)) < reach)
-                    | (F.pmod(F.col(a), F.lit(tile)) >= tile - reach) for a in ("row", "col")]
-            todo = open_.unionByName(fresh.filter(edge[0] | edge[1]))
-        picks = reduce(DataFrame.unionByName, found)
+        picks = _worklist(pixels, reach, tile)
     if k is not None:
         return top_k(picks, k, best_first(), rank="thin_rank" if ranked else None, lead="p")
     return global_rank(picks, best_first(), "thin_rank") if ranked else picks
 
 
+def _worklist(pixels: DataFrame, reach: int, tile: int) -> DataFrame:
+    """All picks of ``pixels`` whose windows reach ``reach`` cells.
+
+    An undecided pixel up to ``reach`` outside a tile may be covered by a pick another
+    ``reach`` away, so picks travel twice as far as undecided pixels.  A tile that no
+    new pick of another tile lies so close to sees what it saw before and rests.
+    """
+    first = checkpoint(run_tiles(explode_tiles(pixels.withColumn("state", F.lit(0)), tile, reach),
+                                 _settle(tile, reach, reach, True), _STATES, tile))
+    open_, fresh = first.filter("state = 0"), first.filter("state = 1")
+    found = [fresh]
+    if open_.isEmpty():
+        return fresh.drop("state")
+    waiting = explode_tiles(open_, tile, reach)
+    settle = _settle(tile, reach, 2 * reach, False)
+    own = ((F.col("tile_y") == F.floor(F.col("row") / tile)) & (F.col("tile_x") == F.floor(F.col("col") / tile)))
+    while True:
+        near = explode_tiles(fresh, tile, 2 * reach).filter(~own)
+        changed = checkpoint(near.select("tile_y", "tile_x").distinct())
+        if changed.isEmpty():
+            break
+        seen = waiting.unionByName(explode_tiles(reduce(DataFrame.unionByName, found), tile, 2 * reach))
+        work = seen.join(few(changed), ["tile_y", "tile_x"], "left_semi")
+        fresh = checkpoint(run_tiles(work, settle, _STATES, tile))
+        found.append(fresh)
+    return reduce(DataFrame.unionByName, found).drop("state")
+
+
 def cut_then_thin(scored: DataFrame, radius: int, k: int) -> DataFrame:
     """Variant: cut to the best k first, then thin, so fewer than k may remain."""
     return thin(top_k(scored.select("row", "col", "p"), k, best_first(), lead="p"), radius)

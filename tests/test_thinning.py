@@ -39,6 +39,36 @@ def test_matches_sequential(spark, pixels, radius, kind):
     assert got == sequential(scores, radius)
 
 
+def test_long_slope_is_stored_once(spark, pixels, monkeypatch):
+    """Twenty tiles in a row settle one after another; undecided pixels are stored by the first round only."""
+    scores = ramp(80, 12)
+    kept = []
+    store = N.checkpoint
+
+    def counted(df):
+        out = store(df)
+        if "state" in out.columns:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "checkpoint", counted)
+    got = {(r["row"], r["col"]) for r in N.thin(pixels(scores), 1, ranked=False, tile=4).collect()}
+    assert got == set(sequential(scores, 1))
+    assert len(kept) > 10 and sum(kept) <= 2 * scores.size
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sparse_clusters_across_corners(spark, pixels, seed):
+    """Gaps, ties and picks two windows away, with tiles as small as a window."""
+    rng = np.random.default_rng(seed)
+    scores = np.maximum(ramp(33, 29), rng.integers(0, 8, (33, 29)) / 8.0)
+    hole = rng.random(scores.shape) < 0.4
+    data = [(r, c, float(scores[r, c])) for r in range(33) for c in range(29) if not hole[r, c]]
+    got = {(r["row"], r["col"]) for r in N.thin(pixels(data), 2, ranked=False, tile=4).collect()}
+    left = np.where(hole, -1.0, scores)
+    assert got == {(r, c) for r, c in sequential(left, 2) if not hole[r, c]}
+
+
 def test_first_k_is_exact_prefix(spark, pixels):
     scores = np.random.default_rng(5).random((40, 40))
     got = [(r["row"], r["col"]) for r in N.thin(pixels(scores), 1, 25).orderBy("thin_rank").collect()]
