@@ -145,13 +145,13 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], rank: str | None = Non
     return ranked if rank else ranked.drop("_rank")
 
 
-def few(groups: DataFrame) -> DataFrame:
-    """``groups`` (one row per group, cheap to count), to be broadcast if they are few enough.
+def few(groups: DataFrame, n: int | None = None) -> DataFrame:
+    """``groups`` (one row per group, cheap to count or ``n`` by a count before), to be broadcast if they are few enough.
 
     The other side then stays where it is; with more groups than that no single one is
     left to decide the join, and AQE splits those that are hot.
     """
-    return F.broadcast(groups) if groups.count() <= _GROUPS else groups
+    return F.broadcast(groups) if (groups.count() if n is None else n) <= _GROUPS else groups
 
 
 def match_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:

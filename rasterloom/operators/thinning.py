@@ -3,10 +3,10 @@
 Visiting pixels best-first and skipping any whose (2r+1) window touches an
 occupied cell selects the lexicographically first maximal independent set of the
 graph that joins pixels at Chebyshev distance <= 2r.  A tile settles everything
-that does not hinge on an undecided pixel of a neighbour tile.  What the first
-round leaves undecided is stored once; a later round runs only the tiles that new
-picks of other tiles can have changed and stores nothing but its own picks, from
-which every tile works out which of its undecided pixels are still open.
+that does not hinge on an undecided pixel of a neighbour tile; that residue goes to
+the next round.  Once a round leaves over half of it, it is not stored again: later
+rounds run only the tiles that new picks of other tiles can have changed and store
+nothing but their picks, from which every tile works out which pixels are still open.
 """
 
 from __future__ import annotations
@@ -102,26 +102,42 @@ def thin(scored: DataFrame, radius: int, k: int | None = None, *, ranked: bool =
 def _worklist(pixels: DataFrame, reach: int, tile: int) -> DataFrame:
     """All picks of ``pixels`` whose windows reach ``reach`` cells.
 
-    An undecided pixel up to ``reach`` outside a tile may be covered by a pick another
+    While a round leaves at most half of the undecided pixels it got, they are stored anew,
+    which is twice the first store in all.  From the first round that leaves more, which
+    long slopes do, they stay as they are and only changed tiles run.  There, an
+    undecided pixel up to ``reach`` outside a tile may be covered by a pick another
     ``reach`` away, so picks travel twice as far as undecided pixels.  A tile that no
     new pick of another tile lies so close to sees what it saw before and rests.
     """
-    first = checkpoint(run_tiles(explode_tiles(pixels.withColumn("state", F.lit(0)), tile, reach),
-                                 _settle(tile, reach, reach, True), _STATES, tile))
-    open_, fresh = first.filter("state = 0"), first.filter("state = 1")
-    found = [fresh]
-    if open_.isEmpty():
-        return fresh.drop("state")
+    todo = pixels.withColumn("state", F.lit(0))
+    found: list[DataFrame] = []
+    before = None
+    while True:
+        after = checkpoint(run_tiles(explode_tiles(todo, tile, reach), _settle(tile, reach, reach, True), _STATES, tile))
+        open_, fresh = after.filter("state = 0"), after.filter("state = 1")
+        found.append(fresh)
+        n, picked = after.agg(F.count(F.when(F.col("state") == 0, 1)), F.count(F.when(F.col("state") == 1, 1))).first()
+        if n == 0:
+            return reduce(DataFrame.unionByName, found).drop("state")
+        # More than all windows of the round's picks could hold is more than half of what it got.
+        if n > picked * (2 * reach + 1) ** 2 or before is not None and 2 * n > before:
+            break
+        before = n
+        # A pick has already cleared its own tile; only those within reach of a
+        # tile edge can matter to a neighbour.
+        edge = [(F.pmod(F.col(a), F.lit(tile)) < reach)
+                | (F.pmod(F.col(a), F.lit(tile)) >= tile - reach) for a in ("row", "col")]
+        todo = open_.unionByName(fresh.filter(edge[0] | edge[1]))
     waiting = explode_tiles(open_, tile, reach)
     settle = _settle(tile, reach, 2 * reach, False)
     own = ((F.col("tile_y") == F.floor(F.col("row") / tile)) & (F.col("tile_x") == F.floor(F.col("col") / tile)))
     while True:
-        near = explode_tiles(fresh, tile, 2 * reach).filter(~own)
-        changed = checkpoint(near.select("tile_y", "tile_x").distinct())
-        if changed.isEmpty():
+        changed = explode_tiles(fresh, tile, 2 * reach).filter(~own).select("tile_y", "tile_x").distinct()
+        n = changed.count()      # reads the picks of one round
+        if n == 0:
             break
         seen = waiting.unionByName(explode_tiles(reduce(DataFrame.unionByName, found), tile, 2 * reach))
-        work = seen.join(few(changed), ["tile_y", "tile_x"], "left_semi")
+        work = seen.join(few(changed, n), ["tile_y", "tile_x"], "left_semi")
         fresh = checkpoint(run_tiles(work, settle, _STATES, tile))
         found.append(fresh)
     return reduce(DataFrame.unionByName, found).drop("state")

@@ -39,7 +39,7 @@ def test_matches_sequential(spark, pixels, radius, kind):
     assert got == sequential(scores, radius)
 
 
-def test_long_slope_is_stored_once(spark, pixels, monkeypatch):
+def test_long_slope_is_not_stored_every_round(spark, pixels, monkeypatch):
     """Twenty tiles in a row settle one after another; undecided pixels are stored by the first round only."""
     scores = ramp(80, 12)
     kept = []
