@@ -80,6 +80,18 @@ def test_offsets_are_never_broadcast(spark, pixels, tmp_path):
         assert all("SortMergeJoin" in line for line in joins)
 
 
+@pytest.mark.parametrize("radius", [3, 15])
+def test_tiles_meet_at_their_edges(spark, pixels, radius):
+    """Coordinates on both sides of 0 and of tile edges, with a wide and a narrow kernel."""
+    rng = np.random.default_rng(5)
+    cells = sorted({(int(r), int(c)) for r, c in rng.integers(-20, 150, (700, 2))})
+    truth = [cells[i] for i in rng.choice(len(cells), 60, replace=False)]
+    pred = [(r, c, float(rng.random())) for r, c in cells]
+    got = M.dti(pixels(pred), pixels(truth, "row int, col int"), radius=radius).first()
+    for name, want in zip(("tp", "fp", "fn", "dti"), brute(truth, pred, float(radius))):
+        assert got[name] == pytest.approx(want, abs=1e-9)
+
+
 def test_groups_of_one_truth_each_count_their_misses(spark, pixels):
     truth = pixels([(2, 2), (300, 5)], "row int, col int")
     pred = pixels([("a", 2, 2, 1.0), ("b", 300, 5, 0.5), ("c", 2, 2, 0.0), (None, 2, 3, 1.0)],
