@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.values import all_valid
+from ..session import checkpoint
 from .grid import stack_bands
 from .ordering import match_null_safe, percentiles_wide, with_average_ranks
 from .sampling import sample_exact
@@ -59,10 +60,12 @@ def spearman_pairs(df: DataFrame, bands: list[str], sample: int | None = None) -
     good = df.filter(all_valid(bands)).select("row", "col", *bands)
     if sample:
         good = sample_exact(good, sample)
-    long = stack_bands(good, bands, "row", "col")
-    ranks = with_average_ranks(long.select("row", "col", "feature", "value"), "value", ["feature"], ["row", "col"])
+    # Stored: it is counted, its ranges are drawn from it, and then it is ranked.
+    good = checkpoint(good)
+    long = stack_bands(good, bands, "row", "col").select("row", "col", "band", "value")
+    ranks = with_average_ranks(long, "value", ["band"], ["row", "col"], rows=good.count() * len(bands))
     wide = (ranks.groupBy("row", "col")
-            .agg(*[F.max(F.when(F.col("feature") == b, F.col("avg_rank"))).alias(b) for b in bands]))
+            .agg(*[F.max(F.when(F.col("band") == i, F.col("avg_rank"))).alias(b) for i, b in enumerate(bands, start=1)]))
     return pearson_pairs(wide, bands)
 
 
